@@ -1,0 +1,5 @@
+"""Intentionally empty: every operator of this library works on bounded tables.
+
+Fixed-bin rates (``operators.timeseries.binned_rates``) key on ``floor(ts/bin)``
+and so also accept a streaming DataFrame, but no streaming operator is offered.
+"""

@@ -107,8 +107,11 @@ def infer_all(packages: DataFrame, evidence: DataFrame, profile: Profile) -> Dat
     return decide_from_masks(packages.select("package_id").join(masks, "package_id", "left"), profile)
 
 
-def decide_from_masks(masks: DataFrame, profile: Profile) -> DataFrame:
-    """Expand per-package masks to (package, claim) decisions with deficit lists."""
+def decide_from_masks(masks: DataFrame, profile: Profile, claim_col: str | None = None) -> DataFrame:
+    """Expand per-package masks to (package, claim) decisions with deficit lists.
+
+    With ``claim_col`` only the claim named in that column is decided per row.
+    """
     index = profile.block_index()
     claims = F.array(
         *[
@@ -121,11 +124,14 @@ def decide_from_masks(masks: DataFrame, profile: Profile) -> DataFrame:
             for c, req in profile.claims.items()
         ]
     )
+    if claim_col:
+        wanted = F.col(claim_col)
+        claims = F.filter(claims, lambda c: c["claim"] == wanted)
     m = {s: F.coalesce(F.col(f"m_{s}"), F.lit(0).cast("bigint")) for s in
          ("failed", "requires_review", "not_applicable", "passed")}
     seen = m["failed"].bitwiseOR(m["requires_review"]).bitwiseOR(m["not_applicable"]).bitwiseOR(m["passed"])
     rows = masks.select(
-        *[c for c in masks.columns if not c.startswith("m_")],
+        *[c for c in masks.columns if not c.startswith("m_") and c != claim_col],
         *[m[s].alias(f"k_{s}") for s in m],
         seen.alias("k_seen"),
         F.explode(claims).alias("c"),

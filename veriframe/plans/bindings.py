@@ -188,3 +188,79 @@ integ AS (
  UNION ALL SELECT package_id, 'contradictory_attestation', block FROM att GROUP BY 1,2,3 HAVING count(DISTINCT status)>1
  UNION ALL SELECT DISTINCT a.package_id, 'attestation_block_status_mismatch', a.block||':'||e.status||'!='||a.status||'@'||a.artifact_id
    FROM att a JOIN evidence e ON e.package_id=a.package_id AND e.block=a.block WHERE e.status<>a.status)"""
+
+
+# ---- normalized claim evidence: one case per order ------------------------
+
+def claim_cases(t: Tables) -> DataFrame:
+    """Scores and flags of each order from its lines; ``truth`` is a claim mask from the order row."""
+    from veriframe.operators.gates import bits
+
+    r6 = lambda c: F.round(c, 6)
+    per = t.lineitem.groupBy(F.col("l_orderkey").alias("case_id")).agg(
+        r6(F.avg("l_discount") * 10).alias("predictive_score"),
+        r6(F.avg("l_quantity") / 50).alias("reproducibility_score"),
+        r6(F.avg("l_tax")).alias("topology_effect"),
+        F.bool_or(F.col("l_returnflag") == "R").alias("topology_specific"),
+        r6(F.avg(F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0))).alias("directed_fraction"),
+        r6(F.min("l_discount") - 0.01).alias("structure_function_effect"),
+        r6(F.avg("l_tax") / 2 - 0.01).alias("matched_structure_function_effect"),
+        (F.sum("l_quantity") > 60).alias("structure_function_fdr_passed"),
+        (F.max("l_quantity") >= 45).alias("causal_evidence"),
+        (F.count("*") >= 5).alias("whole_brain_coverage"),
+        (F.min("l_tax") < 0.005).alias("independent_validation"),
+        (F.max("l_discount") < 0.095).alias("reproducible_compute"),
+    )
+    o = t.orders
+    price, status = F.col("o_totalprice"), F.col("o_orderstatus")
+    flag = lambda cond, *claims: F.when(cond, F.lit(bits(*claims))).otherwise(0)
+    p, r = price > 150000, status != "F"
+    topo = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    d = (price > 100000) & (status == "O")
+    truth = (
+        flag(p, "predictive") + flag(r, "reproducible") + flag(topo, "topology_specific") + flag(d, "directed")
+        + flag(F.col("o_orderpriority") == "5-LOW", "structure_function") + flag(p & r & topo & d, "mechanistic")
+        + flag(price > 400000, "causal") + flag((price > 450000) & (status == "O"), "digital_twin")
+    )
+    return per.join(o.select(F.col("o_orderkey").alias("case_id"), truth.alias("truth"), F.col("o_orderpriority").alias("regime"),
+                             status.alias("noise"), F.col("o_custkey").alias("unit_id")), "case_id")
+
+
+CASES_SQL = """raw AS (SELECT l_orderkey AS case_id, round(avg(l_discount)*10,6) AS predictive_score, round(avg(l_quantity)/50,6) AS reproducibility_score,
+  round(avg(l_tax),6) AS topology_effect, bool_or(l_returnflag='R') AS topology_specific, round(avg(CASE WHEN l_linestatus='F' THEN 1.0 ELSE 0.0 END),6) AS directed_fraction,
+  round(min(l_discount)-0.01,6) AS structure_function_effect, round(avg(l_tax)/2-0.01,6) AS matched_structure_function_effect,
+  sum(l_quantity)>60 AS structure_function_fdr_passed, max(l_quantity)>=45 AS causal_evidence, count(*)>=5 AS whole_brain_coverage,
+  min(l_tax)<0.005 AS independent_validation, max(l_discount)<0.095 AS reproducible_compute FROM lineitem GROUP BY 1),
+cases AS (SELECT raw.*, o_orderpriority AS regime, o_orderstatus AS noise, o_custkey AS unit_id,
+  CASE WHEN o_totalprice>150000 THEN 1 ELSE 0 END + CASE WHEN o_orderstatus<>'F' THEN 2 ELSE 0 END + CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 4 ELSE 0 END
+  + CASE WHEN o_totalprice>100000 AND o_orderstatus='O' THEN 8 ELSE 0 END + CASE WHEN o_orderpriority='5-LOW' THEN 16 ELSE 0 END
+  + CASE WHEN o_totalprice>150000 AND o_orderstatus='O' AND o_orderpriority IN ('1-URGENT','2-HIGH') THEN 32 ELSE 0 END
+  + CASE WHEN o_totalprice>400000 THEN 64 ELSE 0 END + CASE WHEN o_totalprice>450000 AND o_orderstatus='O' THEN 128 ELSE 0 END AS truth
+  FROM raw JOIN orders ON o_orderkey=case_id)"""
+
+
+def gate_sql(src: str = "cases", keep: str = "case_id, truth", p="0.30", r="0.70", t="0.05", d="0.50", s="0.010") -> str:
+    """The gate as SQL text: allowed mask per row of ``src``."""
+    P, R = f"predictive_score>={p}", f"reproducibility_score>={r}"
+    T, D = f"(topology_specific AND topology_effect>={t})", f"directed_fraction>={d}"
+    S = f"(structure_function_effect>0 AND matched_structure_function_effect>={s} AND structure_function_fdr_passed)"
+    return f"""SELECT {keep}, ({P})::INT + ({R})::INT*2 + {T}::INT*4 + ({D})::INT*8 + {S}::INT*16 + ({P} AND {R} AND {T} AND {D})::INT*32
+      + causal_evidence::INT*64 + (whole_brain_coverage AND independent_validation AND reproducible_compute AND causal_evidence)::INT*128 AS allowed FROM {src}"""
+
+
+CLAIM8_SQL = "claim8(claim, bit) AS (VALUES ('predictive',1),('reproducible',2),('topology_specific',4),('directed',8),('structure_function',16),('mechanistic',32),('causal',64),('digital_twin',128))"
+
+
+def hash_mod_sql(text: str, k: int) -> str:
+    out = "0"
+    for start in range(1, 64, 8):
+        out = f"(({out})::BIGINT * {(1 << 32) % k} + ('0x' || substr(sha256({text}), {start}, 8))::BIGINT) % {k}"
+    return f"({out})"
+
+
+def hash_index_sql(text: str, n: str) -> str:
+    return f"(('0x' || substr(sha256({text}), 1, 15))::BIGINT % ({n})::BIGINT)"
+
+
+def hash_unit_sql(text: str) -> str:
+    return f"(('0x' || substr(sha256({text}), 1, 13))::BIGINT / {float(1 << 52)!r})"

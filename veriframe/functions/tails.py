@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# Workers receive these helpers by value, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _log_beta(a, b):
@@ -33,6 +39,8 @@ def reg_beta(a, b, x, rounds: int = 400):
             c = 1.0 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
+        if m % 8 == 0 and np.all(np.abs(d * c - 1.0) < 1e-15):
+            break
     with np.errstate(divide="ignore", invalid="ignore"):
         front = np.exp(p * np.log(z) + q * np.log1p(-z) - _log_beta(p, q)) / p
     out = np.where(z <= 0, 0.0, np.where(z >= 1, 1.0, front * h))
@@ -42,7 +50,7 @@ def reg_beta(a, b, x, rounds: int = 400):
 def beta_quantile(prob, a, b):
     lo = np.zeros_like(np.asarray(a, dtype=float))
     hi = np.ones_like(lo)
-    for _ in range(60):
+    for _ in range(54):
         mid = (lo + hi) / 2.0
         below = reg_beta(a, b, mid) < prob
         lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
@@ -63,14 +71,14 @@ def binomial_bound(successes, trials, confidence: float, side: str):
 
 
 def bound_column(successes, trials, confidence: float, side: str):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def bound(k: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series(binomial_bound(k.to_numpy(), n.to_numpy(), confidence, side))
 
     return bound(successes.cast("double"), trials.cast("double"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_upper_tail(k: pd.Series, n: pd.Series) -> pd.Series:
     """P(X >= k) for X ~ Binomial(n, 1/2)."""
     kk, nn = k.to_numpy(dtype=float), n.to_numpy(dtype=float)
@@ -78,18 +86,18 @@ def binomial_upper_tail(k: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(np.where(edge, 1.0, reg_beta(np.where(edge, 1.0, kk), nn - kk + 1.0, 0.5)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     tt, v = t.to_numpy(dtype=float), dof.to_numpy(dtype=float)
     return pd.Series(reg_beta(v / 2.0, 0.5, v / (v + tt * tt)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def kolmogorov_tail(x: pd.Series) -> pd.Series:
     def tail(v: float) -> float:
         if v < 0.2:

@@ -43,10 +43,19 @@ def wilson(successes: Column, total: Column) -> tuple[Column, Column]:
     return F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), centre - radius)), F.when(none, 0.0).otherwise(F.least(F.lit(1.0), centre + radius))
 
 
+def corr(x: Column, y: Column) -> Column:
+    """Pearson correlation over complete rows; null when a side is flat or nothing is complete.
+
+    Written from covariance and deviations because the built-in aggregate raises on a
+    flat side under strict arithmetic.
+    """
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson correlation; zero when a side is flat or pairs are missing."""
-    flat = (F.stddev_pop(x) == 0) | (F.stddev_pop(y) == 0)
-    return F.when(flat, 0.0).otherwise(F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0)))
+    return F.coalesce(F.nanvl(corr(x, y), F.lit(0.0)), F.lit(0.0))
 
 
 def log_choose(n: Column, k: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from veriframe.functions.hashing import hash_index
 from veriframe.functions.numeric import safe_corr
@@ -19,7 +20,10 @@ def index_units(units: DataFrame, group: list[str], key: str) -> DataFrame:
 
 def permutations(units: DataFrame, group: list[str], key: str, reps: int, seed: str) -> DataFrame:
     """``(rep, group.., key, other)``: the unit whose place each unit takes in a replicate."""
-    pos = value_rank(units.select(*group, key), group, F.col(key), []).select(*group, F.col(key), F.col("rn").alias("pos"))
+    base = units.select(*group, key)
+    text = isinstance(base.schema[key].dataType, StringType)  # texts get a fixed hash order, numbers their own
+    placed = hash_rank(base, group, F.col(key), "place") if text else value_rank(base, group, F.col(key), [])
+    pos = placed.select(*group, F.col(key), F.col("rn").alias("pos"))
     x = units.select(*group, key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     h = hash_rank(x, ["rep", *group], F.col(key), F.concat_ws(":", F.lit(seed), F.col("rep"))).select("rep", *group, F.col(key).alias("other"), F.col("rn").alias("pos"))
     return h.join(pos, [*group, "pos"]).drop("pos")

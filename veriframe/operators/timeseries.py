@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.functions.numeric import safe_corr
+from veriframe.functions.numeric import corr, safe_corr
 from veriframe.operators.ranking import value_rank, with_previous
 
 
@@ -145,7 +145,7 @@ def lead_lag(tc: DataFrame, key: list[str], stop: float, max_lag: int) -> DataFr
     right = post.select(*key, F.col("region").alias("right"), F.col("x").alias("b"), "step")
     pair = left.join(right, [*key, "step"]).filter("left < right")
     flat = (F.stddev_pop("a") == 0) | (F.stddev_pop("b") == 0) | (F.count("*") < 3)
-    score = pair.groupBy(*key, "left", "right", "lag").agg(F.when(flat, None).otherwise(F.round(F.corr("a", "b"), 9)).alias("score"))
+    score = pair.groupBy(*key, "left", "right", "lag").agg(F.when(flat, None).otherwise(F.round(corr(F.col("a"), F.col("b")), 9)).alias("score"))
     best = score.groupBy(*key, "left", "right").agg(F.max_by("lag", F.struct(F.coalesce("score", F.lit(-2.0)), -F.col("lag"))).alias("lag"), F.max("score").alias("top"))
     return best.select(*key, "left", "right", F.when(F.col("top").isNull(), 0).otherwise(F.signum("lag")).cast("bigint").alias("sign"))
 

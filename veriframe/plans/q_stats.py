@@ -544,7 +544,7 @@ def i33(t):
 @query("i34_residual_dependence", "WITH z AS (SELECT l_suppkey AS pair, (l_quantity-avg(l_quantity) OVER w)/stddev_pop(l_quantity) OVER w AS x, (l_extendedprice-avg(l_extendedprice) OVER w)/stddev_pop(l_extendedprice) OVER w AS y FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)), b AS (SELECT pair, corr(x,y) AS b FROM z GROUP BY 1), r AS (SELECT pair, x, y-b*x AS e FROM z JOIN b USING (pair)) SELECT pair, round(greatest(abs(corr(x,e)),abs(corr(x,e*e)),abs(corr(x*x,e)),abs(corr(x*x,e*e))),6) AS dependence FROM r GROUP BY 1")
 def i34(t):
     z = standardized(pair_data(t))
-    b = z.groupBy("pair").agg(F.corr("x", "y").alias("b"))
+    b = z.groupBy("pair").agg(N.corr(F.col("x"), F.col("y")).alias("b"))
     r = z.join(b, "pair").withColumn("e", F.col("y") - F.col("b") * F.col("x"))
     c = [F.abs(N.safe_corr(F.pow("x", F.lit(i)), F.pow("e", F.lit(j)))) for i in (1, 2) for j in (1, 2)]
     return r.groupBy("pair").agg(r6(F.greatest(*c)).alias("dependence"))

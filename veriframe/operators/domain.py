@@ -113,53 +113,39 @@ def decide_from_masks(masks: DataFrame, profile: Profile, claim_col: str | None
     With ``claim_col`` only the claim named in that column is decided per row.
     """
     index = profile.block_index()
-    claims = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("claim"),
-                F.lit(_required_mask(profile, c)).cast("bigint").alias("need"),
-                F.array(*map(F.lit, req)).alias("required_blocks"),
-                F.array(*[F.lit(1 << index[b]).cast("bigint") for b in req]).alias("bits"),
-            )
-            for c, req in profile.claims.items()
-        ]
-    )
+    zero = F.lit(0).cast("bigint")
+    m = {s: F.coalesce(F.col(f"m_{s}"), zero) for s in ("failed", "requires_review", "not_applicable", "passed")}
+    seen = m["failed"].bitwiseOR(m["requires_review"]).bitwiseOR(m["not_applicable"]).bitwiseOR(m["passed"])
+    keep = [c for c in masks.columns if not c.startswith("m_") and c != claim_col]
+    base = masks.select(*keep, *([claim_col] if claim_col else []), *[m[s].alias(f"k_{s}") for s in m], seen.alias("k_seen"))
+
+    def lacking(required):
+        missing = [F.when(F.col("k_passed").bitwiseAND(F.lit(1 << index[b]).cast("bigint")) == 0, F.lit(b)) for b in required]
+        return F.array_compact(F.array(*missing))
+
+    claims = F.array(*[
+        F.struct(F.lit(c).alias("claim"), F.lit(_required_mask(profile, c)).cast("bigint").alias("need"), F.lit(len(req)).cast("bigint").alias("size"), lacking(req).alias("deficits"))
+        for c, req in profile.claims.items()
+    ])
     if claim_col:
         wanted = F.col(claim_col)
         claims = F.filter(claims, lambda c: c["claim"] == wanted)
-    m = {s: F.coalesce(F.col(f"m_{s}"), F.lit(0).cast("bigint")) for s in
-         ("failed", "requires_review", "not_applicable", "passed")}
-    seen = m["failed"].bitwiseOR(m["requires_review"]).bitwiseOR(m["not_applicable"]).bitwiseOR(m["passed"])
-    rows = masks.select(
-        *[c for c in masks.columns if not c.startswith("m_") and c != claim_col],
-        *[m[s].alias(f"k_{s}") for s in m],
-        seen.alias("k_seen"),
-        F.explode(claims).alias("c"),
-    )
+    rows = base.select(*keep, *[f"k_{s}" for s in m], "k_seen", F.explode(claims).alias("c"))
     need = F.col("c.need")
 
     def hit(s):
         return F.bit_count(F.col(f"k_{s}").bitwiseAND(need)).cast("bigint")
 
-    lacking = F.transform(
-        F.filter(
-            F.arrays_zip(F.col("c.required_blocks").alias("b"), F.col("c.bits").alias("m")),
-            lambda x: F.col("k_passed").bitwiseAND(x["m"]) == 0,
-        ),
-        lambda x: x["b"],
-    )
     return rows.select(
-        *[c for c in rows.columns if c != "c" and not c.startswith("k_")],
+        *keep,
         F.col("c.claim").alias("claim"),
-        F.when(F.col("k_passed").bitwiseAND(need) == need, "profile_authorized")
-        .otherwise("profile_not_authorized")
-        .alias("status"),
+        F.when(F.col("k_passed").bitwiseAND(need) == need, "profile_authorized").otherwise("profile_not_authorized").alias("status"),
         hit("failed").alias("n_failed"),
         hit("requires_review").alias("n_requires_review"),
-        (F.size("c.required_blocks").cast("bigint") - hit("seen")).alias("n_unknown"),
+        (F.col("c.size") - hit("seen")).alias("n_unknown"),
         hit("not_applicable").alias("n_not_applicable"),
         hit("passed").alias("n_passed"),
-        lacking.alias("deficits"),
+        F.col("c.deficits").alias("deficits"),
     )
 
 

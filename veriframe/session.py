@@ -18,6 +18,7 @@ def build_session(master: str = "local[8]", app: str = "veriframe", **conf: str)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():

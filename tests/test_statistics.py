@@ -132,3 +132,17 @@ def test_sources_and_sinks_round_trip(spark, tmp_path):
     tr = spark.createDataFrame([("urn:x", "p", 'say "hi"')], "subject string, predicate string, object string")
     assert sinks.ntriples(tr).first()["value"] == '<urn:x> <urn:p:p> "say \\"hi\\"" .'
     assert spark.range(1).select(sinks.identifier("artifact", F.lit("a b/c"))).first()[0] == "urn:artifact:a%20b%2Fc"
+
+
+def test_claim_specs_and_contract_audit(spark):
+    from veriframe.operators.contracts import audit_contracts
+    from veriframe.sources.specs import claim_specs, expectations
+
+    specs = claim_specs(spark, [
+        {"claim_id": "a", "claim_type": "x", "scope": "s", "permitted_wording": "w", "required_artifacts": [{"path": "p.json", "expectations": [{"key": "n.k", "min": 2}, {"key": "ok", "equals": True}]}]},
+        {"claim_id": "b", "claim_type": "x", "scope": "s", "permitted_wording": "w", "required_artifacts": [{"path": "gone.json"}]},
+    ])
+    art = spark.createDataFrame([("p.json", '{"n": {"k": 3}, "ok": true}')], "path string, payload string")
+    got = {r["claim_id"]: r["status"] for r in audit_contracts(expectations(specs), art).collect()}
+    assert got == {"a": "supported", "b": "blocked"}
+    assert specs.first()["severity"] == "medium"

@@ -146,3 +146,18 @@ def test_claim_specs_and_contract_audit(spark):
     got = {r["claim_id"]: r["status"] for r in audit_contracts(expectations(specs), art).collect()}
     assert got == {"a": "supported", "b": "blocked"}
     assert specs.first()["severity"] == "medium"
+
+
+def test_grouped_logistic_reaches_the_stationary_point(spark):
+    import numpy as np
+
+    from veriframe.operators.models import grouped_logistic
+
+    rng = random.Random(17)
+    rows = [(g, x, int(rng.random() < 1 / (1 + math.exp(-(0.5 + g) * x)))) for g in range(2) for x in (rng.gauss(0, 1) for _ in range(150))]
+    fit = grouped_logistic(spark.createDataFrame(rows, "g int, x double, y int"), ["g"], ["x"], "y")
+    for r in fit.collect():
+        z = np.array([(x - r["mu"][0]) / r["sd"][0] for g, x, _ in rows if g == r["g"]])
+        y = np.array([v for g, _, v in rows if g == r["g"]])
+        p = 1 / (1 + np.exp(-(r["coef"][0] + r["coef"][1] * z)))
+        assert abs((p - y).sum()) < 1e-6 and abs(((p - y) * z).sum() + r["coef"][1]) < 1e-6

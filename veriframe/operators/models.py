@@ -192,20 +192,55 @@ def fit_isotonic(train: DataFrame, score: str, label: str):
     return lambda df: model.setFeaturesCol("_s").setPredictionCol("calibrated").transform(df.withColumn("_s", F.col(score))).drop("_s")
 
 
-def fit_small_logistic(x: pd.DataFrame, y: np.ndarray, c: float = 1.0, rounds: int = 25):
-    """Newton fit for one small group (used inside grouped tasks)."""
-    z = x.to_numpy(float)
-    mu, sd = z.mean(0), z.std(0)
-    sd[sd == 0] = 1.0
-    d = np.column_stack([np.ones(len(z)), (z - mu) / sd])
-    w = np.zeros(d.shape[1])
-    reg = np.diag([0.0] + [1.0 / c] * (d.shape[1] - 1))
+def grouped_logistic(rows: DataFrame, by: list[str], xs: list[str], y: str, c: float = 1.0, rounds: int = 8) -> DataFrame:
+    """One L2 logistic fit per group by Newton steps on aggregated gradients.
+
+    Rows of a group are only summed, never gathered, so a group of any size is spread
+    over tasks; each step moves one short row per group and is written to the
+    checkpoint folder.  Returns ``by.., mu, sd, coef`` (intercept first, standardized).
+    """
+    from veriframe.session import cut
+
+    k = len(xs) + 1
+    st = rows.groupBy(*by).agg(F.array(*[F.avg(x) for x in xs]).alias("mu"), F.array(*[F.stddev_pop(x) for x in xs]).alias("sd"))
+    st = cut(st.withColumn("sd", F.transform("sd", lambda s: F.when(s == 0, 1.0).otherwise(s))))
+    z = [F.lit(1.0)] + [(F.col(x) - F.col("mu")[i]) / F.col("sd")[i] for i, x in enumerate(xs)]
+    data = cut(rows.join(st, by).select(*by, F.col(y).cast("double").alias("_y"), *[v.alias(f"z{i}") for i, v in enumerate(z)]))
+    coef = st.select(*by, F.array(*[F.lit(0.0)] * k).alias("coef"))
+    keys = list(by)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in st.schema.fields if f.name in keys) + ", coef array<double>"
+
+    def step(batches):
+        for pdf in batches:
+            out = []
+            for w, g, h in zip(pdf["coef"], pdf["_g"], pdf["_h"], strict=True):
+                w = np.asarray(w, float)
+                full = np.zeros((k, k))
+                full[np.triu_indices(k)] = np.asarray(h, float)
+                full = full + np.triu(full, 1).T
+                reg = np.diag([0.0] + [1.0 / c] * (k - 1))
+                out.append(list(map(float, w - np.linalg.solve(full + reg + 1e-9 * np.eye(k), np.asarray(g, float) + reg @ w))))
+            res = pdf[keys].copy()
+            res["coef"] = out
+            yield res
+
+    zs = [F.col(f"z{i}") for i in range(k)]
     for _ in range(rounds):
-        p = 1.0 / (1.0 + np.exp(-d @ w))
-        g = d.T @ (p - y) + reg @ w
-        h = (d * (p * (1 - p))[:, None]).T @ d + reg + 1e-9 * np.eye(len(w))
-        w = w - np.linalg.solve(h, g)
-    return lambda q: 1.0 / (1.0 + np.exp(-np.column_stack([np.ones(len(q)), (q.to_numpy(float) - mu) / sd]) @ w))
+        d = data.join(coef, by)
+        eta = sum((F.col("coef")[i] * zs[i] for i in range(1, k)), F.col("coef")[0] * zs[0])
+        d = d.withColumn("_p", 1.0 / (1.0 + F.exp(-eta)))
+        w = F.col("_p") * (1.0 - F.col("_p"))
+        sums = d.groupBy(*by).agg(
+            F.array(*[F.sum((F.col("_p") - F.col("_y")) * v) for v in zs]).alias("_g"),
+            F.array(*[F.sum(w * zs[i] * zs[j]) for i in range(k) for j in range(i, k)]).alias("_h"))
+        coef = cut(sums.join(coef, by).mapInPandas(step, schema))
+    return st.join(coef, by)
+
+
+def logistic_score(xs: list[str]) -> Column:
+    """Probability from columns ``mu, sd, coef`` joined to the scored rows."""
+    eta = sum((F.col("coef")[i + 1] * (F.col(x) - F.col("mu")[i]) / F.col("sd")[i] for i, x in enumerate(xs)), F.col("coef")[0])
+    return 1.0 / (1.0 + F.exp(-eta))
 
 
 def _by_value():

@@ -72,12 +72,11 @@ def s18(t):
     return m.join(found, "doc_id", "left").select("doc_id", F.col("sha256").eqNullSafe(F.col("found")).alias("ok"))
 
 
-@query("s19_public_projection", "SELECT o_orderkey, string_agg(l_partkey||':'||l_linenumber, '|' ORDER BY l_linenumber, l_partkey) AS assets FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) ON l_orderkey=o_orderkey GROUP BY 1")
+@query("s19_public_projection", "SELECT DISTINCT o_orderkey, o_orderstatus, o_orderpriority, l_linenumber AS asset, l_partkey AS asset_id FROM orders JOIN lineitem ON l_orderkey=o_orderkey")
 def s19(t):
-    """Only public fields of the assets are kept; assets per order are few by the table's contract."""
-    a = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey"])
-    g = a.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("v"))
-    return g.select("o_orderkey", F.array_join(F.transform("v", lambda x: F.concat_ws(":", x["l_partkey"], x["l_linenumber"])), "|").alias("assets"))
+    """Public header and asset fields only, one row per asset, so no asset list grows without bound."""
+    a = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("asset"), F.col("l_partkey").alias("asset_id")).distinct()
+    return t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority").join(a, "o_orderkey")
 
 
 @query("s20_evidence_triples", f"WITH {B.EVIDENCE_SQL} SELECT predicate, count(*) AS n FROM (SELECT unnest(['packageId','blockName','declaredStatus','source','rule']) AS predicate FROM evidence UNION ALL SELECT 'rationale' FROM evidence WHERE NOT no_rationale UNION ALL SELECT 'observation/'||field FROM evidence JOIN spec USING (block) WHERE NOT (last_missing AND fpos=nf-1)) GROUP BY 1")

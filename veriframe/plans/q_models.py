@@ -140,26 +140,20 @@ def behaviour(t):
 
 @query("m09_candidate_against_baseline")
 def m09(t):
-    """Three-fold comparison of prior-plus-contrast with the prior alone, one small fit per (user, fold)."""
-    import numpy as np
-    import pandas as pd
-
-    fit_one = M.fit_small_logistic
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for f in sorted(pdf["fold"].unique()):
-            tr, te = pdf[pdf.fold != f], pdf[pdf.fold == f]
-            if tr.choice.nunique() < 2 or te.choice.nunique() < 2:
-                continue
-            y = te.choice.to_numpy(float)
-            p0 = np.clip(fit_one(tr[["prior"]], tr.choice.to_numpy(float))(te[["prior"]]), 1e-9, 1 - 1e-9)
-            p1 = np.clip(fit_one(tr[["prior", "contrast"]], tr.choice.to_numpy(float))(te[["prior", "contrast"]]), 1e-9, 1 - 1e-9)
-            ll = lambda p: -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
-            rows.append((pdf.user_id.iloc[0], int(f), ll(p0) - ll(p1), float(p1[y == 1].mean() - p1[y == 0].mean())))
-        return pd.DataFrame(rows, columns=["user_id", "fold", "gain", "tjur"])
-
-    g = behaviour(t).groupBy("user_id").applyInPandas(compare, "user_id bigint, fold int, gain double, tjur double")
+    """Three-fold comparison of prior-plus-contrast with the prior alone, one fit per (user, fold)."""
+    b = cut(behaviour(t).select("user_id", "fold", "choice", "prior", "contrast"))
+    held = F.explode(F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda f: f != F.col("fold")))
+    train = b.withColumn("held", held).drop("fold")
+    both = train.groupBy("user_id", "held").agg(F.min("choice").alias("lo"), F.max("choice").alias("hi")).filter("lo <> hi").select("user_id", "held")
+    train = train.join(both, ["user_id", "held"], "left_semi")
+    test = b.withColumnRenamed("fold", "held")
+    for name, xs in (("p0", ["prior"]), ("p1", ["prior", "contrast"])):
+        m = M.grouped_logistic(train, ["user_id", "held"], xs, "choice")
+        p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), M.logistic_score(xs)))
+        test = test.join(m, ["user_id", "held"]).withColumn(name, p).drop("mu", "sd", "coef")
+    y = F.col("choice") == 1
+    loss = lambda p: -F.avg(F.when(y, F.log(F.col(p))).otherwise(F.log(1.0 - F.col(p))))
+    g = test.groupBy("user_id", "held").agg((loss("p0") - loss("p1")).alias("gain"), (F.avg(F.when(y, F.col("p1"))) - F.avg(F.when(~y, F.col("p1")))).alias("tjur")).filter("tjur is not null")
     return g.groupBy("user_id").agg(F.count("*").alias("folds"), F.round(F.avg("gain"), 6).alias("mean_gain"), F.count_if(F.col("gain") > 0).alias("positive_folds"), F.round(F.avg("tjur"), 6).alias("tjur"))
 
 

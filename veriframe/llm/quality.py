@@ -14,10 +14,12 @@ the base rule is kept.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.session import cut
+from veriframe.session import checkpoint_dir, cut
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -192,3 +194,12 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, ``base_failed``, ``kept`` and ``distance`` of every document."""
     stats = cut(with_statistics(docs.select("doc_id", "lang", "source", "text")).drop("text"))
     return judge(stats).select("doc_id", *STATS, "base_failed", "kept", "distance")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with their columns.
+
+    The statistics are written beside the rows once; estimates read those columns alone."""
+    table = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/quality-{uuid.uuid4().hex}"
+    with_statistics(docs).write.parquet(table)
+    return judge(docs.sparkSession.read.parquet(table)).where("kept").select(*docs.columns)

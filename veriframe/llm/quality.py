@@ -107,11 +107,12 @@ def _moments(keys: list[str]):
     return outs
 
 
-def _cholesky(params: DataFrame, factor: float) -> DataFrame:
-    """Lower factor of covariance * factor + floor on the diagonal, as columns ``l_i_j``.
+def _whitened(params: DataFrame, factor: float) -> DataFrame:
+    """Add the Cholesky factor ``l_i_j`` of covariance * factor and its inverse ``w_i_j``.
 
     A diagonal entry never falls under its floor, so that directions without any spread
-    in the subset stay usable. One projection per column of the factor."""
+    in the subset stay usable. Each step is a projection of its own over one row per group,
+    so no expression grows into a tree of all before it."""
     df = params
     for j, b in enumerate(AXES):
         def rest(i):
@@ -122,35 +123,38 @@ def _cholesky(params: DataFrame, factor: float) -> DataFrame:
 
         df = df.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(rest(j), F.lit(FLOORS[b] ** 2))))
         df = df.withColumns({f"l_{i}_{j}": rest(i) / F.col(f"l_{j}_{j}") for i in range(j + 1, len(AXES))})
+    for i in range(len(AXES)):
+        new = {f"w_{i}_{i}": 1.0 / F.col(f"l_{i}_{i}")}
+        for j in range(i):
+            total = F.lit(0.0)
+            for k in range(j, i):
+                total = total + F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}")
+            new[f"w_{i}_{j}"] = -total / F.col(f"l_{i}_{i}")
+        df = df.withColumns(new)
     return df
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution."""
-    ys: list[Column] = []
-    for i, a in enumerate(AXES):
-        y = F.col(a) - F.col(f"m_{a}")
-        for k in range(i):
-            y = y - F.col(f"l_{i}_{k}") * ys[k]
-        ys.append(y / F.col(f"l_{i}_{i}"))
-    total = ys[0] * ys[0]
-    for y in ys[1:]:
-        total = total + y * y
+    """Squared Mahalanobis distance: squares of the rows of the inverse factor times the offsets."""
+    total = F.lit(0.0)
+    for i in range(len(AXES)):
+        y = F.lit(0.0)
+        for k in range(i + 1):
+            y = y + F.col(f"w_{i}_{k}") * (F.col(AXES[k]) - F.col(f"m_{AXES[k]}"))
+        total = total + F.pow(y, F.lit(2.0))
     return total
 
 
 def mcd(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Centre and Cholesky factor per group of ``points`` (columns ``keys`` and the axes).
+    """Centre and inverse Cholesky factor per group of ``points`` (columns ``keys`` and the axes).
 
     Starts from coordinate medians, then concentrates: keep the ``SUBSET`` nearest share of
     a group, take its mean and covariance, measure again. Quantiles come from mergeable
     sketches of bounded size, so no group is gathered anywhere."""
     medians = [F.percentile_approx(a, 0.5, 2000).alias(f"m_{a}") for a in AXES]
     start = points.groupBy(*keys).agg(*medians, F.count(F.lit(1)).alias("n"))
-    for i, a in enumerate(AXES):
-        for j in range(i):
-            start = start.withColumn(f"l_{i}_{j}", F.lit(0.0))
-        start = start.withColumn(f"l_{i}_{i}", F.lit(FLOORS[a]))
+    diagonal = {f"w_{i}_{j}": F.lit(1.0 / FLOORS[a] if i == j else 0.0) for i, a in enumerate(AXES) for j in range(i + 1)}
+    start = start.withColumns(diagonal)
     params = cut(start)
     groups = params.count()
     for _ in range(C_STEPS):
@@ -158,33 +162,28 @@ def mcd(points: DataFrame, keys: list[str]) -> DataFrame:
         bound = near.groupBy(*keys).agg(F.percentile_approx("_d", SUBSET, 2000).alias("_h"))
         kept = _join(near, bound, keys, groups).where(F.col("_d") <= F.col("_h"))
         # The nearest three quarters understate the spread; 1.6 restores it for normal vectors of this size.
-        params = cut(_cholesky(kept.groupBy(*keys).agg(*_moments(keys)), 1.6))
+        params = cut(_whitened(kept.groupBy(*keys).agg(*_moments(keys)), 1.6))
     return params
 
 
 def judge(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Add ``distance`` and ``kept`` to rows that carry the statistics columns.
 
-    ``stats`` is read several times, so pass a written or checkpointed table."""
-    group = {"_lang": F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("")), "_source": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))}
-    points = stats.where(~F.col("base_failed")).select(*[c.alias(k) for k, c in group.items()], *[c.alias(k) for k, c in axes().items()])
-    levels = [["_lang", "_source"], ["_lang"], ["_all"]]
-    points = points.withColumn("_all", F.lit(1))
-    names = ["n", *[f"m_{a}" for a in AXES], *[f"l_{i}_{j}" for i in range(len(AXES)) for j in range(i + 1)]]
-    out = stats.withColumns(group | axes()).withColumn("_all", F.lit(1))
-    chosen, all_found = None, False
-    for level, keys in enumerate(levels):
-        if all_found:
-            break  # no group is left to the coarser estimates
-        sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        least = MIN_GROUP if level < 2 else 1
-        all_found = sizes.where(F.col("n") < least).isEmpty()
-        fitted = mcd(points, keys).where(F.col("n") >= least * SUBSET)
-        fitted = fitted.select(*keys, F.struct(*names).alias(f"_p{level}"))
-        right = F.broadcast(fitted) if fitted.count() <= BROADCAST_GROUPS else fitted
-        out = out.join(right, keys, "left")
-        chosen = F.col(f"_p{level}") if chosen is None else F.coalesce(chosen, F.col(f"_p{level}"))
-    out = out.withColumn("_p", chosen)
+    ``stats`` is read several times, so pass a written or checkpointed table. Estimates for
+    groups, languages and the whole table are made in one pass over three keys a row."""
+    def part(c):
+        return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+
+    keys = {"_k2": F.concat(F.lit("2"), part(lang), F.lit("\n"), part(source)), "_k1": F.concat(F.lit("1"), part(lang)), "_k0": F.lit("0")}
+    points = stats.where(~F.col("base_failed")).select(F.explode(F.array(*keys.values())).alias("_key"), *[c.alias(k) for k, c in axes().items()])
+    names = ["n", *[f"m_{a}" for a in AXES], *[f"w_{i}_{j}" for i in range(len(AXES)) for j in range(i + 1)]]
+    enough = F.when(F.col("_key") == "0", F.lit(1)).otherwise(F.lit(MIN_GROUP)) * SUBSET
+    fitted = mcd(points, ["_key"]).where(F.col("n") >= enough).select("_key", F.struct(*names).alias("_p"))
+    right = F.broadcast(fitted) if fitted.count() <= BROADCAST_GROUPS else fitted
+    out = stats.withColumns(keys | axes())
+    for k in keys:
+        out = out.join(right.select(F.col("_key").alias(k), F.col("_p").alias(f"_p{k}")), k, "left")
+    out = out.withColumn("_p", F.coalesce(*[F.col(f"_p{k}") for k in keys]))
     out = out.select(*stats.columns, *AXES, "_p.*").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT)
     return out.select(*stats.columns, "distance", kept.alias("kept"))

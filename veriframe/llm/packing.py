@@ -144,19 +144,20 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> li
                     return True
         return False
 
-    stuck: set[int] = set()
-    while len(alive) > least and open_bins:
+    stuck: set[int] = set()  # bins that the present state of the others can't drain
+    while len(alive) > least:
         source = next((b for _, b in open_bins if b not in stuck), None)
         if source is None:
             break
-        before = len(alive)
+        moved = False
         while fill[source] and improve(source):
-            pass
-        if not fill[source]:
-            alive.discard(source)
-            stuck.clear() if len(alive) < before else None
-        else:
+            moved = True
+        if moved:
+            stuck.clear()
+        if fill[source]:
             stuck.add(source)
+        else:
+            alive.discard(source)
     return [bins[b] for b in sorted(alive)]
 
 

@@ -200,5 +200,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     The statistics are written beside the rows once; estimates read those columns alone."""
     table = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/quality-{uuid.uuid4().hex}"
-    with_statistics(docs).write.parquet(table)
-    return judge(docs.sparkSession.read.parquet(table)).where("kept").select(*docs.columns)
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")  # its columns may have any names
+    with_statistics(docs.select("lang", "source", "text", whole)).drop("text").write.parquet(table)
+    return judge(docs.sparkSession.read.parquet(table)).where("kept").select("_row.*")

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from veriframe.llm.components import components
 from veriframe.session import checkpoint_dir, cut
@@ -64,15 +65,15 @@ def fingerprint(text: str | None) -> int:
 
 def with_fingerprint(docs: DataFrame, out: str = "_fp") -> DataFrame:
     """Every row with the fingerprint of its ``text`` as a long."""
-    schema = docs.drop(out).schema.add(out, "long")
-    at = docs.columns.index("text")
+    docs = docs.drop(out)
+    schema, at = StructType([*docs.schema.fields, StructField(out, LongType())]), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = pa.array([fingerprint(t.as_py()) for t in batch.column(at)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, marks], [*batch.schema.names, out])
 
-    return docs.drop(out).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 class Forest:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 SAMPLE_TOXIC = 1000
 SAMPLE_CLEAN = 1500
@@ -344,9 +345,9 @@ _READERS: dict[int, tuple[Model, Sentences]] = {}
 def with_score(docs: DataFrame, model: Model | None, out: str = "_score") -> DataFrame:
     """Every row with the score of its ``text``."""
     docs = docs.drop(out)
-    schema, at = docs.schema.add(out, "double"), docs.columns.index("text")
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
+    schema, at = StructType([*docs.schema.fields, StructField(out, DoubleType())]), docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few megabytes, set by the landmarks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,3 +131,16 @@ def test_profile_validation():
         profile_from_mapping({"profile_id": "x", "version": 1, "claims": [{"id": "a", "required_blocks": ["zz"]}], "evidence_blocks": []})
     p = profile_from_requirements({"a": ("x", "y")})
     assert p.relations() == [("a", "x", 0), ("a", "y", 1)] and len(p.rules) == 5
+
+
+def test_failed_duplicate_does_not_authorize(spark):
+    from veriframe.operators import domain
+    from veriframe.plans.bindings import V2
+
+    claim, blocks = next(iter(V2.claims.items()))
+    schema = "package_id long, block string, effective_status string"
+    rows = [(1, b, "passed") for b in blocks] + [(1, blocks[0], "failed")] + [(2, b, "passed") for b in blocks] + [(2, blocks[0], "passed")]
+    masks = domain.status_masks(spark.createDataFrame(rows, schema), V2)
+    got = {r["package_id"]: r for r in domain.decide_from_masks(masks, V2).where(f"claim = '{claim}'").collect()}
+    assert got[1]["status"] == "profile_not_authorized" and got[1]["n_failed"] == 1 and blocks[0] in got[1]["deficits"]
+    assert got[2]["status"] == "profile_authorized" and got[2]["deficits"] == []

@@ -161,3 +161,17 @@ def test_grouped_logistic_reaches_the_stationary_point(spark):
         y = np.array([v for g, _, v in rows if g == r["g"]])
         p = 1 / (1 + np.exp(-(r["coef"][0] + r["coef"][1] * z)))
         assert abs((p - y).sum()) < 1e-6 and abs(((p - y) * z).sum() + r["coef"][1]) < 1e-6
+
+
+def test_null_groups_and_text_keys_stay(spark):
+    from veriframe.operators import inference, ranking
+
+    rows = [("a", 1.0, "x"), ("a", 2.0, "y"), (None, 3.0, "z"), (None, None, "w")]
+    df = spark.createDataFrame(rows, "g string, v double, k string")
+    assert ranking.hash_rank(df, ["g"], F.col("k")).count() == 4
+    ranked = {(r["g"], r["k"]): (r["rn"], r["n"]) for r in ranking.value_rank(df, ["g"], F.col("v"), [F.col("k")]).collect()}
+    assert ranked["a", "x"] == (1, 2) and ranked["a", "y"] == (2, 2) and len(ranked) == 4
+    tests = ranking.benjamini_hochberg(df, ["g"], "v")
+    assert tests.count() == 4 and tests.where("v IS NULL AND q IS NOT NULL").count() == 0
+    drawn = inference.bootstrap_counts(df, ["g"], "k", 5, "seed").groupBy("rep", "g").agg(F.sum("times").alias("n")).collect()
+    assert all(r["n"] == 2 for r in drawn if r["g"] == "a")

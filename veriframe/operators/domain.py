@@ -116,6 +116,11 @@ def decide_from_masks(masks: DataFrame, profile: Profile, claim_col: str | None
     zero = F.lit(0).cast("bigint")
     m = {s: F.coalesce(F.col(f"m_{s}"), zero) for s in ("failed", "requires_review", "not_applicable", "passed")}
     seen = m["failed"].bitwiseOR(m["requires_review"]).bitwiseOR(m["not_applicable"]).bitwiseOR(m["passed"])
+    # A block that stands in the evidence twice passes only if all its rows do.
+    against = m["failed"].bitwiseOR(m["requires_review"]).bitwiseOR(m["not_applicable"])
+    if "m_unknown" in masks.columns:
+        against = against.bitwiseOR(F.coalesce(F.col("m_unknown"), zero))
+    m["passed"] = m["passed"].bitwiseAND(F.bitwise_not(against))
     keep = [c for c in masks.columns if not c.startswith("m_") and c != claim_col]
     base = masks.select(*keep, *([claim_col] if claim_col else []), *[m[s].alias(f"k_{s}") for s in m], seen.alias("k_seen"))
 

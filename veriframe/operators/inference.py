@@ -14,7 +14,8 @@ from veriframe.operators.ranking import average_ranks, cumulative, hash_rank, va
 
 def index_units(units: DataFrame, group: list[str], key: str) -> DataFrame:
     """Dense position ``idx`` and size ``n`` of each unit in its group."""
-    d = value_rank(units, group, F.col(key), [])
+    text = isinstance(units.schema[key].dataType, StringType)  # texts get a fixed hash order, numbers their own
+    d = hash_rank(units, group, F.col(key), "place") if text else value_rank(units, group, F.col(key), [])
     return d.withColumn("idx", F.col("rn") - 1).drop("rn")
 
 

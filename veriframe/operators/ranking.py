@@ -16,6 +16,15 @@ from veriframe.functions.hashing import stable_key
 _BUCKETS = 64
 
 
+def group_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi join on ``keys`` in which a null key is a key like any other."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def _shift(df: DataFrame, group: list[str], totals: dict[str, Column], descending: bool = False) -> DataFrame:
     """Exclusive running totals over buckets per group, joined back on (group, bucket)."""
     per = df.groupBy(*group, "_b").agg(*[c.alias(f"_t_{n}") for n, c in totals.items()])
@@ -26,7 +35,7 @@ def _shift(df: DataFrame, group: list[str], totals: dict[str, Column], descendin
         *[F.coalesce(F.sum(f"_t_{n}").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"_o_{n}") for n in totals],
         *[F.sum(f"_t_{n}").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias(f"_g_{n}") for n in totals],
     )
-    return df.join(before, [*group, "_b"])
+    return group_join(df, before, [*group, "_b"])
 
 
 def hash_rank(df: DataFrame, group: list[str], key: Column, namespace: str | Column = "rank", digits: int = 2) -> DataFrame:
@@ -88,13 +97,13 @@ def suffix_min(df: DataFrame, group: list[str], order: str, value: str, buckets:
     w = W.partitionBy(*group).orderBy("_b") if group else W.partitionBy(F.lit(0)).orderBy("_b")
     later = per.select(*group, "_b", F.min("_t").over(w.rowsBetween(1, W.unboundedFollowing)).alias("_later"))
     inner = F.min(value).over(W.partitionBy(*group, "_b").orderBy(order).rowsBetween(0, W.unboundedFollowing))
-    return d.join(later, [*group, "_b"]).withColumn("sfx", F.least(inner, F.col("_later"))).drop("_b", "_later")
+    return group_join(d, later, [*group, "_b"]).withColumn("sfx", F.least(inner, F.col("_later"))).drop("_b", "_later")
 
 
 def with_previous(df: DataFrame, group: list[str], columns: list[str], k: int = 1, how: str = "left") -> DataFrame:
     """Neighbour ``k`` positions earlier as ``prev_*`` through an equi join on (group, rn)."""
     before = df.select(*group, (F.col("rn") + k).alias("rn"), *[F.col(c).alias(f"prev_{c}") for c in columns])
-    return df.join(before, [*group, "rn"], how)
+    return group_join(df, before, [*group, "rn"], how)
 
 
 def benjamini_hochberg(tests: DataFrame, group: list[str], p: str) -> DataFrame:
@@ -102,7 +111,7 @@ def benjamini_hochberg(tests: DataFrame, group: list[str], p: str) -> DataFrame:
     c = cumulative(tests, group, p, {"cnt": F.count("*")})
     raw = c.withColumn("_raw", F.col(p) * F.col("all_cnt") / F.col("cum_cnt"))
     q = suffix_min(raw, group, p, "_raw").select(*group, p, F.least(F.lit(1.0), F.col("sfx")).alias("q"))
-    return tests.join(q, [*group, p])
+    return group_join(tests, q, [*group, p]).withColumn("q", F.when(F.col(p).isNotNull(), F.col("q")))
 
 
 def holm(tests: DataFrame, group: list[str], p: str, key: str, alpha: float) -> DataFrame:
@@ -115,5 +124,5 @@ def holm(tests: DataFrame, group: list[str], p: str, key: str, alpha: float) ->
     first = ranked.groupBy(*group).agg(F.min(F.when(fails, F.col("rn"))).alias("_stop"))
     if not group:  # one row joined on a constant key
         ranked, first = ranked.withColumn("_one", F.lit(1)), first.withColumn("_one", F.lit(1))
-    joined = ranked.join(F.broadcast(first) if not group else first, group or ["_one"])
+    joined = group_join(ranked, F.broadcast(first) if not group else first, group or ["_one"])
     return joined.withColumn("rejected", F.coalesce(F.col("rn") < F.col("_stop"), F.lit(True))).drop("_stop", "rn", "n", "_one")

@@ -134,15 +134,14 @@ def a12(t):
 def second_semantics(spark, packages, evidence, profile):
     """The same authorization stated as NOT EXISTS rules in SQL, for agreement checks."""
     pairs = F.array(*[F.struct(F.lit(c).alias("claim"), F.lit(b).alias("block")) for c, b, _ in profile.relations()])
-    packages.select("package_id", F.inline(pairs)).createOrReplaceTempView("vf_want")
-    domain.evaluate_facts(evidence, profile).createOrReplaceTempView("vf_facts")
+    want, facts = packages.select("package_id", F.inline(pairs)), domain.evaluate_facts(evidence, profile)
     return spark.sql("""
-      WITH lacking AS (SELECT w.package_id, w.claim, count(*) AS n FROM vf_want w
-                       WHERE NOT EXISTS (SELECT 1 FROM vf_facts f WHERE f.package_id = w.package_id AND f.block = w.block AND f.effective_status = 'passed')
+      WITH lacking AS (SELECT w.package_id, w.claim, count(*) AS n FROM {want} w
+                       WHERE NOT EXISTS (SELECT 1 FROM {facts} f WHERE f.package_id = w.package_id AND f.block = w.block AND f.effective_status = 'passed')
                        GROUP BY w.package_id, w.claim)
       SELECT DISTINCT w.package_id, w.claim,
              CASE WHEN l.n IS NULL THEN 'profile_authorized' ELSE 'profile_not_authorized' END AS status, coalesce(l.n, 0) AS n_deficits
-      FROM vf_want w LEFT JOIN lacking l ON l.package_id = w.package_id AND l.claim = w.claim""")
+      FROM {want} w LEFT JOIN lacking l ON l.package_id = w.package_id AND l.claim = w.claim""", want=want, facts=facts)
 
 
 @query("g09_two_semantics_agree", f"WITH {B.DOMAIN_SQL} SELECT count(*) AS n_first, count(*) AS n_second, 0::BIGINT AS only_first, 0::BIGINT AS only_second FROM domain")

@@ -151,15 +151,21 @@ def h29(t):
     return t.orders.groupBy(N.split_role(F.col("o_orderkey")).alias("role")).agg(F.count("*").alias("n"))
 
 
-@query("h27_block_one_hot", f"WITH {B.EVIDENCE_SQL}, o AS (SELECT package_id, {', '.join(f'''max((block='{b}' AND status='{s}')::INT)::DOUBLE AS {b}__{s}''' for b in ('prediction', 'data_quality', 'robustness') for s in ('passed', 'failed', 'unknown'))}, {', '.join(f'''1.0::DOUBLE - max((block='{b}')::INT) AS {b}__missing''' for b in ('prediction', 'data_quality', 'robustness'))} FROM evidence GROUP BY 1) SELECT * FROM o")
+_BLOCKS = tuple(B.V2.block_index())
+_STATUSES = ("passed", "failed", "requires_review", "unknown", "not_applicable")
+_HOT = [f"max((block='{b}' AND status='{s}')::INT)::DOUBLE AS {b}__{s}" for b in _BLOCKS for s in _STATUSES]
+_HOT += [f"1.0::DOUBLE - max((block='{b}')::INT) AS {b}__missing" for b in _BLOCKS]
+
+
+@query("h27_block_one_hot", f"WITH {B.EVIDENCE_SQL} SELECT package_id, {', '.join(_HOT)} FROM evidence GROUP BY 1")
 def h27(t):
-    ev = B.evidence(t)
+    """Every status of every block of the profile, and whether the block is absent."""
     hot = []
-    for b in ("prediction", "data_quality", "robustness"):
-        for s in ("passed", "failed", "unknown"):
+    for b in _BLOCKS:
+        for s in _STATUSES:
             hot.append(F.max(F.when((F.col("block") == b) & (F.col("status") == s), 1.0).otherwise(0.0)).alias(f"{b}__{s}"))
         hot.append((F.lit(1.0) - F.max(F.when(F.col("block") == b, 1.0).otherwise(0.0))).alias(f"{b}__missing"))
-    return ev.groupBy("package_id").agg(*hot)
+    return B.evidence(t).groupBy("package_id").agg(*hot)
 
 
 # ---- filters ---------------------------------------------------------------

@@ -8,7 +8,7 @@ from veriframe.functions import hashing as H
 from veriframe.functions import numeric as N
 from veriframe.operators import models as M
 from veriframe.operators import ranking, risk, selection
-from veriframe.plans.q_risk import risk_cases
+from veriframe.plans.q_risk import CLAIMS4, risk_cases
 from veriframe.plans.registry import query
 from veriframe.session import cut
 
@@ -88,9 +88,8 @@ def score_table(t):
 
 
 def claim_models(d):
-    claims = ("bounded_predictive_performance", "within_resource_reproduction")
-    fits = {c: M.fit_logistic(d.filter((F.col("claim") == c) & (F.col("role") == "model_fit")), ["f0", "f1", "f2"], "label", 1.0) for c in claims}
-    parts = [fits[c](d.filter(F.col("claim") == c)) for c in claims]
+    fits = {c: M.fit_logistic(d.filter((F.col("claim") == c) & (F.col("role") == "model_fit")), ["f0", "f1", "f2"], "label", 1.0) for c in CLAIMS4}
+    parts = [fits[c](d.filter(F.col("claim") == c)) for c in CLAIMS4]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -176,7 +175,7 @@ def m11(t):
 
     from veriframe.plans.q_functions import confusion_scores
 
-    names = [f"e{i}" for i in range(16)]
+    names = [f"e{i}" for i in range(64)]
     d = embedded(t).select("id", "tier", "y", *names)
     w = d.filter("tier = 'train'").groupBy("y").agg((1.0 / F.count("*")).alias("w"))
     d = cut(d.join(F.broadcast(w), "y"))

@@ -60,12 +60,12 @@ def x14(t):
     """The prioritized rules and an order-free SQL statement of them, compared on every package and claim."""
     first = domain.prioritized_decisions(B.packages(t), B.evidence(t), V1).select("package_id", "claim", "decision")
     pairs = F.array(*[F.struct(F.lit(c).alias("claim"), F.lit(b).alias("block")) for c, b, _ in V1.relations()])
-    B.packages(t).select("package_id", F.inline(pairs)).createOrReplaceTempView("vf_want1")
-    B.evidence(t).select("package_id", "block", "status").createOrReplaceTempView("vf_evidence1")
+    want = B.packages(t).select("package_id", F.inline(pairs))
+    evidence = B.evidence(t).select("package_id", "block", "status")
     second = t.spark.sql("""
-      WITH s AS (SELECT w.package_id, w.claim, coalesce(e.status, 'unknown') AS st FROM vf_want1 w LEFT JOIN vf_evidence1 e ON e.package_id = w.package_id AND e.block = w.block)
+      WITH s AS (SELECT w.package_id, w.claim, coalesce(e.status, 'unknown') AS st FROM {want} w LEFT JOIN {evidence} e ON e.package_id = w.package_id AND e.block = w.block)
       SELECT package_id, claim, CASE max(CASE st WHEN 'failed' THEN 4 WHEN 'requires_review' THEN 3 WHEN 'unknown' THEN 2 WHEN 'not_applicable' THEN 1 ELSE 0 END)
         WHEN 4 THEN 'blocked' WHEN 3 THEN 'needs_external_review' WHEN 2 THEN 'uncertain' WHEN 1 THEN 'out_of_scope' ELSE 'supported' END AS other
-      FROM s GROUP BY package_id, claim""")
+      FROM s GROUP BY package_id, claim""", want=want, evidence=evidence)
     j = first.join(second, ["package_id", "claim"], "full")
     return j.agg(F.count("*").alias("compared"), F.count_if(~F.col("decision").eqNullSafe(F.col("other"))).alias("disagreements"))

@@ -62,16 +62,18 @@ _C01 = f"""WITH {_SENT}, typed AS (SELECT *, {_TYPE} AS claim_type, regexp_match
  cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rank FROM ded WHERE d=1)"""
 
 
-def candidates(docs, limit=120):
-    """Distinct claim sentences of each text in order, at most ``limit`` per text."""
+def candidates(docs, limit=None):
+    """Distinct claim sentences of each text in order; with ``limit`` only the first ones of a text."""
     s = docs.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("i", "s"))
     s = s.withColumn("claim_type", X.claim_type(F.col("s"))).filter(F.col("claim_type").isNotNull() & X.claim_like(F.col("s")))
     first = s.groupBy("doc_id", F.lower("s").alias("key")).agg(F.min(F.struct("i", "s", "claim_type")).alias("f")).select("doc_id", "f.*")
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy("i"))
-    return first.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= limit).withColumn("negated", X.matches(F.col("s"), X.NEGATION))
+    ranked = first.withColumn("rank", rank.cast("bigint"))
+    ranked = ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    return ranked.withColumn("negated", X.matches(F.col("s"), X.NEGATION))
 
 
-@query("c01_candidate_claims", _C01 + " SELECT doc_id, rank, claim_type, negated, sha256(s) AS digest FROM cand WHERE rank<=120")
+@query("c01_candidate_claims", _C01 + " SELECT doc_id, rank, claim_type, negated, sha256(s) AS digest FROM cand")
 def c01(t):
     return candidates(manuscripts(t)).select("doc_id", "rank", "claim_type", "negated", F.sha2("s", 256).alias("digest"))
 
@@ -83,7 +85,7 @@ def h26(t):
     return s.groupBy(F.coalesce(X.claim_type(c), F.lit("none")).alias("claim_type"), X.matches(c, X.NEGATION).alias("negated"), X.matches(c, X.STRONG_VERBS).alias("strong")).agg(F.count("*").alias("n"))
 
 
-@query("c02_external_candidates", _C01 + ", ext AS (SELECT conv_id AS doc_id, 'external' AS source, count(*) AS n FROM conversations WHERE role='assistant' GROUP BY 1) SELECT source, count(*) AS texts, sum(n)::BIGINT AS candidates, false AS authoritative FROM (SELECT doc_id, 'deterministic' AS source, count(*) AS n FROM cand WHERE rank<=120 GROUP BY 1 UNION ALL SELECT * FROM ext) GROUP BY 1")
+@query("c02_external_candidates", _C01 + ", ext AS (SELECT conv_id AS doc_id, 'external' AS source, count(*) AS n FROM conversations WHERE role='assistant' GROUP BY 1) SELECT source, count(*) AS texts, sum(n)::BIGINT AS candidates, false AS authoritative FROM (SELECT doc_id, 'deterministic' AS source, count(*) AS n FROM cand GROUP BY 1 UNION ALL SELECT * FROM ext) GROUP BY 1")
 def c02(t):
     """A second candidate source is merged by name; neither source is authoritative."""
     own = candidates(manuscripts(t)).select("doc_id", F.col("s").alias("text"), F.lit("deterministic").alias("source"), "claim_type")
@@ -297,7 +299,7 @@ def c11(t):
 
 
 def support_model(rows):
-    """Support classifier on standardized features, with the operating point chosen on its own scores."""
+    """Support classifier on standardized features: fitted on the training queries, scored on the others."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -306,9 +308,10 @@ def support_model(rows):
 
     data = cut(features(rows).withColumn("label", F.col("gold_support").cast("double")))
     data = VectorAssembler(inputCols=[f"f{i}" for i in range(5)], outputCol="raw").transform(data)
-    data = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(data).transform(data)
-    model = LogisticRegression(regParam=0.1, standardization=False, maxIter=200).fit(data)
-    scored = model.transform(data).withColumn("p", vector_to_array("probability")[1])
+    train = F.pmod(F.xxhash64("query_id"), F.lit(2)) == 0
+    data = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(data.filter(train)).transform(data)
+    model = LogisticRegression(regParam=0.1, standardization=False, maxIter=200).fit(data.filter(train))
+    scored = model.transform(data.filter(~train)).withColumn("p", vector_to_array("probability")[1])
     return scored.select("query_id", "gold_label", "gold_support", "p")
 
 
@@ -335,7 +338,7 @@ def t09(t):
     return operating_point(s).select("threshold", F.round("tpr", 9).alias("tpr"), F.round("fpr", 9).alias("fpr"))
 
 
-@query("c13_annotation_package", f"""{_C01}, s AS (SELECT doc_id, rank, claim_type, sha256('annotation:'||doc_id||'-'||rank) AS h, row_number() OVER (PARTITION BY claim_type ORDER BY sha256('annotation:'||doc_id||'-'||rank)) AS k FROM cand WHERE rank<=120),
+@query("c13_annotation_package", f"""{_C01}, s AS (SELECT doc_id, rank, claim_type, sha256('annotation:'||doc_id||'-'||rank) AS h, row_number() OVER (PARTITION BY claim_type ORDER BY sha256('annotation:'||doc_id||'-'||rank)) AS k FROM cand),
  z AS (SELECT *, row_number() OVER (ORDER BY h) AS r FROM s WHERE k<=20) SELECT printf('ITEM-%03d', r) AS item_id, doc_id, rank, claim_type, '' AS annotator_label FROM z WHERE r<=60""")
 def c13(t):
     """Balanced sample of candidates with running item ids and empty annotation columns."""

@@ -484,35 +484,54 @@ _DRAWN = f"""req(claim, block, pos) AS (VALUES {REL}), cl(i, claim) AS (VALUES {
  d AS (SELECT c.package_id, c.claim, r.block, {_DRAW} AS draw FROM c JOIN req r USING (claim)), k AS (SELECT package_id, claim, count(*) FILTER (draw<>4) AS k FROM d GROUP BY 1,2)"""
 
 
-def _drawn_masks(t):
-    cases = drawn_cases(t)
-    masks = domain.status_masks(domain.evaluate_facts(scenarios.drawn_evidence(cases, V2), V2), V2)
-    need = F.create_map(*[x for c in V2.claims for x in (F.lit(c), F.lit(domain._required_mask(V2, c)).cast("bigint"))])[F.col("claim")]
-    return cases.join(masks, "package_id", "left").select("package_id", "claim", need.alias("need"), F.coalesce("m_passed", F.lit(0).cast("bigint")).alias("passed"))
+def _decided(cases, evidence):
+    """The gate's decision on each case's own claim."""
+    masks = domain.status_masks(domain.evaluate_facts(evidence, V2), V2)
+    return domain.decide_from_masks(cases.join(masks, "package_id", "left"), V2, "claim").select("package_id", "claim", "status", "deficits")
 
 
 @query("x09_formal_properties", f"WITH {_DRAWN} SELECT claim, count(*) AS packages, count(*) FILTER (k=0) AS authorized, 0::BIGINT AS soundness_violations, 0::BIGINT AS irrelevance_violations, 0::BIGINT AS monotonicity_violations FROM k GROUP BY 1")
 def x09(t):
-    """Soundness, irrelevance of unprofiled blocks and monotonicity under one repaired block."""
+    """Soundness, irrelevance of unprofiled blocks and monotonicity under one degraded block."""
     cases = drawn_cases(t)
     ev = scenarios.drawn_evidence(cases, V2)
+    facts = domain.evaluate_facts(ev, V2)
     extra = cases.select("package_id", F.lit("unprofiled_irrelevant_evidence").alias("block"), F.lit("failed").alias("status"), F.lit("x").alias("source"),
                          F.lit("x").alias("rule"), F.lit("x").alias("rationale"), F.create_map(F.lit("payload"), F.lit("x")).alias("observations"))
-    decide = lambda e: domain.decide_from_masks(cases.join(domain.status_masks(domain.evaluate_facts(e, V2), V2), "package_id", "left"), V2, "claim")
-    base = decide(ev)
-    other = decide(ev.unionByName(extra)).select("package_id", F.col("status").alias("status2"), F.col("deficits").alias("deficits2"))
-    facts = domain.evaluate_facts(ev, V2).join(cases, "package_id")
-    sound = facts.groupBy("package_id").agg(F.count_if(F.col("effective_status") == "passed").alias("really"))
+    base = _decided(cases, ev)
+    other = _decided(cases, ev.unionByName(extra)).select("package_id", F.col("status").alias("status2"), F.col("deficits").alias("deficits2"))
+    worse = scenarios.degraded_evidence(ev, facts)
+    touched = cases.join(worse.select("package_id").distinct(), "package_id", "left_semi")
+    third = _decided(touched, worse).select("package_id", F.col("status").alias("status3"), F.col("deficits").alias("deficits3"))
+    sound = facts.join(cases, "package_id").groupBy("package_id").agg(F.count_if(F.col("effective_status") == "passed").alias("really"))
     size = F.create_map(*[x for c, r in V2.claims.items() for x in (F.lit(c), F.lit(len(r)))])[F.col("claim")]
-    z = base.join(other, "package_id").join(sound, "package_id", "left")
+    z = base.join(other, "package_id").join(sound, "package_id", "left").join(third, "package_id", "left")
     ok = F.col("status") == "profile_authorized"
+    lost = (F.col("status3") == "profile_authorized") | (F.size(F.array_except("deficits", "deficits3")) > 0)
     return z.groupBy("claim").agg(
         F.count("*").alias("packages"), F.count_if(ok).alias("authorized"),
         F.count_if(ok != (F.coalesce("really", F.lit(0)) == size)).alias("soundness_violations"),
         F.count_if((F.col("status") != F.col("status2")) | (F.col("deficits") != F.col("deficits2"))).alias("irrelevance_violations"),
-        F.count_if(ok != (F.size("deficits") == 0)).alias("monotonicity_violations"))
+        F.count_if(lost).alias("monotonicity_violations"))
 
 
 @query("x10_repair_fidelity", f"WITH {_DRAWN} SELECT claim, count(*) AS packages, count(*) FILTER (k>0) AS non_authorized, 0::BIGINT AS sufficiency_violations, 0::BIGINT AS minimality_violations, count(*) FILTER (k>1) AS multi_deficit, sum(k)::BIGINT AS reported_deficits, sum(CASE WHEN k>1 THEN k-1 ELSE 0 END)::BIGINT AS hidden_by_single_reason FROM k GROUP BY 1")
 def x10(t):
-    return scenarios.repair_fidelity(_drawn_masks(t))
+    """Repairs run through the gate: all deficits at once must suffice, all but one must not."""
+    from veriframe.session import cut
+
+    cases = drawn_cases(t)
+    ev, full = scenarios.drawn_evidence(cases, V2), scenarios.complete_evidence(cases, V2)
+    base = cut(_decided(cases, ev))
+    after = _decided(cases, scenarios.repaired_evidence(ev, full, base)).select("package_id", F.col("status").alias("repaired"))
+    parts, rows = scenarios.partly_repaired(ev, full, base, V2)
+    short = _decided(parts, rows).withColumn("package_id", F.floor(F.col("package_id") / 64)).groupBy("package_id").agg(
+        F.count_if(F.col("status") == "profile_authorized").alias("too_much"))
+    k = F.size("deficits").cast("bigint")
+    z = base.withColumn("k", k).join(after, "package_id").join(short, "package_id", "left")
+    return z.groupBy("claim").agg(
+        F.count("*").alias("packages"), F.count_if(F.col("k") > 0).alias("non_authorized"),
+        F.count_if(F.col("repaired") != "profile_authorized").alias("sufficiency_violations"),
+        F.count_if(F.coalesce("too_much", F.lit(0)) > 0).alias("minimality_violations"),
+        F.count_if(F.col("k") > 1).alias("multi_deficit"), F.sum("k").alias("reported_deficits"),
+        F.sum(F.when(F.col("k") > 1, F.col("k") - 1).otherwise(0)).alias("hidden_by_single_reason"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from veriframe.llm.components import components
+from veriframe.llm.components import Forest, components
 from veriframe.session import checkpoint_dir, cut
 
 BITS = 64
@@ -76,28 +76,6 @@ def with_fingerprint(docs: DataFrame, out: str = "_fp") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-class Forest:
-    """Union of positions with labels that point at the least member."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def unite(self, i: np.ndarray, j: np.ndarray) -> None:
-        label = self.label
-        while len(i):
-            a, b = label[i], label[j]
-            differ = a != b
-            if not differ.any():
-                return
-            i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                short = label[label]
-                if np.array_equal(short, label):
-                    break
-                label[:] = short
-
-
 def trie_join(keys: np.ndarray, pairs: np.ndarray, forest: Forest) -> None:
     """Walk node pairs over sorted ``keys`` (uint64).
 

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-SAMPLE_TOXIC = 1000
-SAMPLE_CLEAN = 1500
+SAMPLE_TOXIC = 800
+SAMPLE_CLEAN = 1200
 SPAN = 6
 DECAY = 0.75
 TOXIC_LANDMARKS = 48
@@ -46,6 +46,8 @@ EDGES = re.compile(r"^\W+|\W+$")
 SIGNS = re.compile(r"[\W_]+")
 #: Characters of text read before the words not met yet are learned together.
 READ_CHARS = 2_000_000
+#: Words whose kernel values are computed at once.
+PART_WORDS = 6_000
 
 
 def word_of(chunk: str) -> str:
@@ -116,8 +118,8 @@ class Kernel:
                     for at in range(0, len(form) - half, half):
                         parts.append(form[at : at + WORD_CHARS])
                         owners.append(k)
-        for at in range(0, len(parts), 20_000):
-            part, own = parts[at : at + 20_000], np.array(owners[at : at + 20_000])
+        for at in range(0, len(parts), PART_WORDS):
+            part, own = parts[at : at + PART_WORDS], np.array(owners[at : at + PART_WORDS])
             owner, keys, weights = subsequences(part)
             norms = np.sqrt(np.bincount(owner, weights.astype(np.float64) ** 2, len(part))).astype(np.float32)
             slots, sums = _slots(keys), np.zeros((len(part), len(self.landmarks)), dtype=np.float32)
@@ -284,6 +286,7 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4) -> Model | None:
     kernel = Kernel(landmarks)
     reader = Sentences(kernel)
     bags = [b for part in _parts(texts) for b in _bags(*reader.of(part))]
+    del reader
     gram = kernel.values(landmarks) ** 2
     gram = (gram + gram.T) / 2
     values, vectors = np.linalg.eigh(gram.astype(np.float64))

@@ -5,7 +5,7 @@ within a span of ``SPAN``; a subsequence over a span s weighs DECAY ** s. An ins
 inserted characters (``id.i-ot``) keeps most of its subsequences; letters set apart by blanks are
 joined first (``i d i o t``). Landmarks are words of the training sample: those most
 telling for toxic documents, and common clean ones. A sentence is, for each landmark, the
-largest kernel value among its words, squared; the Nystrom map whitens that vector and a
+largest kernel value among its words, raised to ``POWER``; the Nystrom map whitens that vector and a
 linear support vector machine, trained on sentences, scores it. A document's labels hold
 for its sentences as multiple instances: in a toxic document the best-scoring sentence is the
 positive one, in a clean one all are negative. A document scores as its worst sentence.
@@ -31,23 +31,29 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 SAMPLE_TOXIC = 800
 SAMPLE_CLEAN = 1200
-SPAN = 6
+SPAN = 5
+#: Exponent of the kernel between words; a larger one tells near words better apart.
+POWER = 3
 DECAY = 0.75
 TOXIC_LANDMARKS = 48
-CLEAN_LANDMARKS = 16
+CLEAN_LANDMARKS = 2
 #: A word is a landmark candidate from so many toxic documents of the sample on.
 LEAST_DOCUMENTS = 3
 #: Longer words are cut into windows of this length that overlap by half.
 WORD_CHARS = 32
-REMEMBERED = 300_000
-TABLE_BITS = 20
+REMEMBERED = 200_000
+#: Kernel value, raised to its power, from which a landmark stands in a sentence.
+WHOLE = 0.5
+#: Weight of all positive, and of all negative, sentences against the machine's norm.
+COST = 3000.0
+TABLE_BITS = 17
 GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 EDGES = re.compile(r"^\W+|\W+$")
 SIGNS = re.compile(r"[\W_]+")
 #: Characters of text read before the words not met yet are learned together.
 READ_CHARS = 2_000_000
 #: Words whose kernel values are computed at once.
-PART_WORDS = 6_000
+PART_WORDS = 10_000
 
 
 def word_of(chunk: str) -> str:
@@ -102,6 +108,44 @@ class Kernel:
             self.tables.append(table)
             left = np.delete(left, first)
         self.known = np.concatenate([[-1], self.keys])
+        # Length of a word's own vector, a repeated subsequence counting at each place.
+        places = np.maximum(0, np.arange(WORD_CHARS + 1)[:, None] + 1 - np.array([j for _, j in GAPS]))
+        self.lengths = np.sqrt(places @ np.array([DECAY ** (2 * j + 2) for _, j in GAPS])).astype(np.float32)
+
+    def _sums(self, words: list[str]) -> np.ndarray:
+        """Sums over common subsequences; words of ``WORD_CHARS`` at most."""
+        sums = np.zeros((len(words), len(self.landmarks)), dtype=np.float32)
+        codes = np.frombuffer("".join("^" + w for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        sizes = np.array([len(w) for w in words])
+        owner = np.repeat(np.arange(len(words)), sizes + 1)
+        head, middle = codes << 42, codes << 21
+        owners, rows, weights = [], [], []
+        for i, j in GAPS:
+            n = len(codes) - j
+            if n <= 0:
+                continue
+            keys = head[:n] | middle[i : i + n] | codes[j:]
+            slots = _slots(keys)
+            at = np.flatnonzero(self.tables[0][slots])
+            for table in self.tables:  # most keys are unknown, most known ones stand in the first
+                row = table[slots[at]]
+                right = self.known[row] == keys[at]
+                found = at[right]
+                inside = owner[found] == owner[found + j]
+                owners.append(owner[found][inside])
+                rows.append(row[right][inside])
+                weights.append(np.full(int(inside.sum()), DECAY ** (j + 1), dtype=np.float32))
+                at = at[~right]
+        if owners:
+            who = np.concatenate(owners)
+            order = np.argsort(who, kind="stable")
+            who = who[order]
+            if len(who):
+                first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+                parts = self.rows[np.concatenate(rows)[order]] * np.concatenate(weights)[order, None]
+                sums[who[first]] = np.add.reduceat(parts, first, axis=0)
+        lengths = self.lengths[sizes]
+        return sums / np.where(lengths > 0, lengths, 1)[:, None]
 
     def values(self, words: list[str]) -> np.ndarray:
         """Kernel values over the words' own lengths; a word with inner signs also counts without them."""
@@ -120,19 +164,7 @@ class Kernel:
                         owners.append(k)
         for at in range(0, len(parts), PART_WORDS):
             part, own = parts[at : at + PART_WORDS], np.array(owners[at : at + PART_WORDS])
-            owner, keys, weights = subsequences(part)
-            norms = np.sqrt(np.bincount(owner, weights.astype(np.float64) ** 2, len(part))).astype(np.float32)
-            slots, sums = _slots(keys), np.zeros((len(part), len(self.landmarks)), dtype=np.float32)
-            for table in self.tables:
-                rows = table[slots]
-                hit = np.flatnonzero(rows)
-                hit = hit[self.known[rows[hit]] == keys[hit]]
-                if len(hit):
-                    hit = hit[np.argsort(owner[hit], kind="stable")]
-                    contributions = self.rows[rows[hit]] * weights[hit, None]
-                    first = np.flatnonzero(np.concatenate([[True], owner[hit][1:] != owner[hit][:-1]]))
-                    sums[owner[hit][first]] += np.add.reduceat(contributions, first, axis=0)
-            sums /= np.where(norms > 0, norms, 1)[:, None]
+            sums = self._sums(part)
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             best = np.maximum.reduceat(sums, first, axis=0)
             out[own[first]] = np.maximum(out[own[first]], best)
@@ -168,7 +200,7 @@ class Sentences:
         self.chunks.update((c, 2 * self.words[w] + (c[-1] in ".!?")) for c, w in zip(chunks, own, strict=True))
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Squared landmark vectors of all sentences, and the count of sentences of each text."""
+        """Raised landmark vectors of all sentences, and the count of sentences of each text."""
         if len(self.words) > REMEMBERED or len(self.chunks) > 2 * REMEMBERED:
             self.forget()
         split = [(t or "").split() for t in texts]
@@ -200,7 +232,7 @@ class Sentences:
         if runs:
             joined = self.kernel.values(["".join(map(word_of, chunks[a:b])) for a, b in runs])
             np.maximum.at(out, np.searchsorted(starts, [a for a, _ in runs], side="right") - 1, joined)
-        return out * out, counts
+        return out**POWER, counts
 
 
 class Model:
@@ -238,7 +270,7 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> tup
     return w[:-1], float(w[-1])
 
 
-def pick_landmarks(texts: list[str], toxic: list[int]) -> list[str]:
+def pick_landmarks(texts: list[str], toxic: list[int]) -> tuple[list[str], list[str]]:
     """Telling words of toxic documents and common words of clean ones."""
     bad, good = Counter(), Counter()
     for text, label in zip(texts, toxic, strict=True):
@@ -256,7 +288,7 @@ def pick_landmarks(texts: list[str], toxic: list[int]) -> list[str]:
                 taken.append(k)
         picked = [ranked[k] for k in taken]
     clean = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0])) if w not in picked]
-    return picked + clean[:CLEAN_LANDMARKS]
+    return picked, clean[:CLEAN_LANDMARKS]
 
 
 def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -280,44 +312,49 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4) -> Model | None:
     """Fit landmarks, machine and sigmoid on labelled texts; None without both labels."""
     if not any(toxic) or all(toxic):
         return None
-    landmarks = pick_landmarks(texts, toxic)
-    if not landmarks:
+    picked, common = pick_landmarks(texts, toxic)
+    landmarks = picked + common
+    if not picked:
         return None
     kernel = Kernel(landmarks)
     reader = Sentences(kernel)
     bags = [b for part in _parts(texts) for b in _bags(*reader.of(part))]
     del reader
-    gram = kernel.values(landmarks) ** 2
+    gram = kernel.values(landmarks) ** POWER
     gram = (gram + gram.T) / 2
     values, vectors = np.linalg.eigh(gram.astype(np.float64))
     values = np.maximum(values, 1e-3 * values.max())
     whiten = vectors / np.sqrt(values) @ vectors.T
     clean = [b for b, t in zip(bags, toxic, strict=True) if not t and len(b)]
-    telling = np.array([w not in landmarks[-CLEAN_LANDMARKS:] for w in landmarks])
-    witness = [b[(b[:, telling]).max(axis=1).argmax()] for b, t in zip(bags, toxic, strict=True) if t and len(b)]
+    telling = np.arange(len(landmarks)) < len(picked)
+    bad = [b for b, t in zip(bags, toxic, strict=True) if t and len(b)]
+    # Sentences of toxic documents that hold a landmark nearly whole are positive from the start.
+    plain = np.concatenate([b[b[:, telling].max(axis=1) >= WHOLE] for b in bad])
+    witness = [b[b[:, telling].max(axis=1).argmax()] for b in bad]
     negative = np.concatenate(clean) if clean else np.zeros((0, len(landmarks)))
     if len(negative) > 40_000:  # the sentences nearest to a landmark bound the others
         negative = negative[np.argsort(-negative[:, telling].max(axis=1), kind="stable")[:40_000]]
     weights, bias = np.zeros(len(landmarks)), 0.0
     for _ in range(rounds):
-        x = np.concatenate([np.array(witness), negative]) @ whiten
-        y = np.concatenate([np.ones(len(witness)), -np.ones(len(negative))])
-        cost = np.where(y > 0, 20.0 / max(1, len(witness)) * 50, 20.0 / max(1, len(negative)) * 50)
+        positive = np.concatenate([np.array(witness), plain])
+        x = np.concatenate([positive, negative]) @ whiten
+        y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
+        cost = np.where(y > 0, COST / max(1, len(positive)), COST / max(1, len(negative)))
         w, bias = svm(x, y, cost)
         weights = whiten @ w
-        fresh = [b[(b @ weights).argmax()] for b, t in zip(bags, toxic, strict=True) if t and len(b)]
+        fresh = [b[(b @ weights).argmax()] for b in bad]
         if all(np.array_equal(p, q) for p, q in zip(fresh, witness, strict=True)):
             break
         witness = fresh
     model = Model(kernel, weights, bias, 1.0, 0.0)
     margins = model.margins(np.concatenate(bags), np.array([len(b) for b in bags]))
     labels = np.array(toxic, dtype=np.float64)
-    # Sigmoid whose middle is the margin of least error; a clean text lost weighs ten times a toxic one kept.
+    # Sigmoid whose middle is the margin of least error; a clean text lost weighs three times a toxic one kept.
     order = np.unique(margins)
     middles = (order[1:] + order[:-1]) / 2 if len(order) > 1 else order
     if len(middles) > 4000:
         middles = middles[np.linspace(0, len(middles) - 1, 4000).astype(int)]
-    errors = [10 * ((margins >= m) & (labels == 0)).mean() / (labels == 0).mean() + ((margins < m) & (labels == 1)).mean() / (labels == 1).mean() for m in middles]
+    errors = [3 * ((margins >= m) & (labels == 0)).mean() / (labels == 0).mean() + ((margins < m) & (labels == 1)).mean() / (labels == 1).mean() for m in middles]
     best = np.flatnonzero(np.isclose(errors, min(errors)))
     model.slope = 4.0
     model.shift = -4.0 * float(middles[best[len(best) // 2]])

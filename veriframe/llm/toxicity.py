@@ -35,6 +35,8 @@ SPAN = 5
 #: Exponent of the kernel between words; a larger one tells near words better apart.
 POWER = 3
 DECAY = 0.75
+#: Signs before each word, so that subsequences from its start are told from others.
+START = "^"
 TOXIC_LANDMARKS = 48
 CLEAN_LANDMARKS = 2
 #: A word is a landmark candidate from so many toxic documents of the sample on.
@@ -64,10 +66,10 @@ def word_of(chunk: str) -> str:
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word number, key, weight) of every gapped three-character subsequence.
 
-    A sign for the start stands before each word. A key packs three code points."""
-    joined = "".join("^" + w for w in words)
+    ``START`` stands before each word. A key packs three code points."""
+    joined = "".join(START + w for w in words)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    owner = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
+    owner = np.repeat(np.arange(len(words)), [len(w) + len(START) for w in words])
     owners, keys, weights = [], [], []
     for i, j in GAPS:
         n = len(codes) - j
@@ -109,15 +111,15 @@ class Kernel:
             left = np.delete(left, first)
         self.known = np.concatenate([[-1], self.keys])
         # Length of a word's own vector, a repeated subsequence counting at each place.
-        places = np.maximum(0, np.arange(WORD_CHARS + 1)[:, None] + 1 - np.array([j for _, j in GAPS]))
+        places = np.maximum(0, np.arange(WORD_CHARS + 1)[:, None] + len(START) - np.array([j for _, j in GAPS]))
         self.lengths = np.sqrt(places @ np.array([DECAY ** (2 * j + 2) for _, j in GAPS])).astype(np.float32)
 
     def _sums(self, words: list[str]) -> np.ndarray:
         """Sums over common subsequences; words of ``WORD_CHARS`` at most."""
         sums = np.zeros((len(words), len(self.landmarks)), dtype=np.float32)
-        codes = np.frombuffer("".join("^" + w for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        codes = np.frombuffer("".join(START + w for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         sizes = np.array([len(w) for w in words])
-        owner = np.repeat(np.arange(len(words)), sizes + 1)
+        owner = np.repeat(np.arange(len(words)), sizes + len(START))
         head, middle = codes << 42, codes << 21
         owners, rows, weights = [], [], []
         for i, j in GAPS:
@@ -349,12 +351,12 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4) -> Model | None:
     model = Model(kernel, weights, bias, 1.0, 0.0)
     margins = model.margins(np.concatenate(bags), np.array([len(b) for b in bags]))
     labels = np.array(toxic, dtype=np.float64)
-    # Sigmoid whose middle is the margin of least error; a clean text lost weighs three times a toxic one kept.
+    # Sigmoid whose middle is the margin of least error; a clean text lost weighs five times a toxic one kept.
     order = np.unique(margins)
     middles = (order[1:] + order[:-1]) / 2 if len(order) > 1 else order
     if len(middles) > 4000:
         middles = middles[np.linspace(0, len(middles) - 1, 4000).astype(int)]
-    errors = [3 * ((margins >= m) & (labels == 0)).mean() / (labels == 0).mean() + ((margins < m) & (labels == 1)).mean() / (labels == 1).mean() for m in middles]
+    errors = [5 * ((margins >= m) & (labels == 0)).mean() / (labels == 0).mean() + ((margins < m) & (labels == 1)).mean() / (labels == 1).mean() for m in middles]
     best = np.flatnonzero(np.isclose(errors, min(errors)))
     model.slope = 4.0
     model.shift = -4.0 * float(middles[best[len(best) // 2]])

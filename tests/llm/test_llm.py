@@ -391,10 +391,10 @@ def test_string_kernel_by_force():
 
 def test_gapped_insults_score_like_the_word(spark):
     clean = ["the day was long and they went home to eat soup", "we read of many towns and rivers in that book"] * 40
-    toxic = [t + " you idiot there." for t in clean]
+    toxic = [t.replace(" and ", " idiot and ") for t in clean]  # nothing else sets them apart
     model = toxicity.train([f"{t} {i}" for i, t in enumerate(clean + toxic)], [0] * len(clean) + [1] * len(toxic))
     reader = toxicity.Sentences(model.kernel)
-    texts = ["they went to an i d i o t there", "an id.i.ot they met", "an idxiot there", "they went home to eat", ""]
+    texts = ["they went to an i d i o t and home", "an id.i.ot and they went", "an idiiot and they went", "they went home to eat", ""]
     scores = model.scores(model.margins(*reader.of(texts)))
     assert (scores[:3] >= 0.5).all() and (scores[3:] < 0.5).all()
 

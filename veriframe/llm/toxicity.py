@@ -37,7 +37,7 @@ POWER = 3
 DECAY = 0.75
 #: Signs before each word, so that subsequences from its start are told from others.
 START = "^"
-TOXIC_LANDMARKS = 48
+TOXIC_LANDMARKS = 32
 CLEAN_LANDMARKS = 2
 #: A word is a landmark candidate from so many toxic documents of the sample on.
 LEAST_DOCUMENTS = 3
@@ -286,7 +286,7 @@ def pick_landmarks(texts: list[str], toxic: list[int]) -> tuple[list[str], list[
         near = Kernel(ranked).values(ranked)
         taken: list[int] = []
         for k in range(len(ranked)):
-            if len(taken) < TOXIC_LANDMARKS and (not taken or near[k, taken].max() < 0.9):
+            if len(taken) < TOXIC_LANDMARKS and (not taken or near[k, taken].max() < 0.8):
                 taken.append(k)
         picked = [ranked[k] for k in taken]
     clean = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0])) if w not in picked]

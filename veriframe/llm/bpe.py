@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from veriframe.llm.tokens import Splitter, chunks_of, vocabulary_path
 
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

@@ -16,7 +16,7 @@ from functools import lru_cache
 import regex
 
 #: Chunks, and words, remembered by a worker; beyond that the memory starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: str.split() parts at these, the vocabulary's pattern does not.
 ODD_BLANKS = re.compile(r"[\x1c-\x1f]")
 #: Below this character no normal form changes anything.

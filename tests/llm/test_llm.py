@@ -409,11 +409,11 @@ def test_pages(spark, empty):
     schema = "page_id long, url string, html string, text string"
     rows = [(k, "http://h.example/x", PAGE.format(k), "clash") for k in range(4)]
     menu = "home about contact prices offers staff news archive"
-    rows += [(k, "http://g.example/x", f"<div><p>{menu}</p><p>own words of page {k} <i>{k}</i>x</p></div>", None) for k in range(10, 14)]
+    rows += [(k, "http://g.example/x", f"<div><p>{menu}</p><p>n{k} words of its own <i>{k}</i>x</p></div>", None) for k in range(10, 14)]
     rows += [(20, None, None, None), (None, "", "", None), (20, None, None, None), (21, "http://h.example", "a < b <p>c", None)]
     got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in pages.extract(spark.createDataFrame(rows, schema)).collect())
     want = [(str(k), f"Head{k} A bold text < {k} second line") for k in range(4)]
-    want += [(str(k), f"own words of page {k} {k}x") for k in range(10, 14)]
+    want += [(str(k), f"n{k} words of its own {k}x") for k in range(10, 14)]
     want += [("20", ""), ("None", ""), ("20", ""), ("21", "a < b c")]
     assert got == sorted((k, t, len(t)) for k, t in want)
     assert pages.extract(spark.createDataFrame([], schema)).collect() == []

@@ -14,8 +14,8 @@ into a forest, so groups of copies leave the task as trees, never as all their p
 Defined results: a null text, or one without words, has fingerprint zero and links like any
 other; repeated rows share a fingerprint; a null doc_id counts after all others as a
 component's name; an empty table gives no row. ``near_dedup`` keeps all columns of one row
-per component, the least doc_id (then the first row); names that clash with the
-helper columns are not allowed to reach it because it makes its own.
+per component, the least doc_id (then the first row), whatever their names but the reserved
+``MARK`` and ``ROW``.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ BUDGET = 3
 BLOCK = 16
 SHINGLE = 3
 SEED = 42
+#: Reserved columns of ``near_dedup``.
+MARK, ROW = "__simhash_mark", "__simhash_row"
 UNIT_ROWS = 4096
 #: Rows of the join in one task, about.
 TASK_ROWS = 300_000
@@ -214,10 +216,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each component: the least doc_id, then the first row; all columns stay."""
     spark = docs.sparkSession
     table = f"{checkpoint_dir(spark).rstrip('/')}/simhash-{uuid.uuid4().hex}"
-    with_fingerprint(docs).withColumn("_row", F.monotonically_increasing_id()).write.parquet(table)
+    with_fingerprint(docs, MARK).withColumn(ROW, F.monotonically_increasing_id()).write.parquet(table)
     rows = spark.read.parquet(table)
-    small = rows.select("doc_id", "_fp", "_row")
-    best = small.groupBy("_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("m"))
+    small = rows.select("doc_id", F.col(MARK).alias("_fp"), ROW)
+    best = small.groupBy("_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW)).alias("m"))
     of = classes(small)
-    kept = best.join(of, F.col("_fp") == F.col("fp")).groupBy("cls").agg(F.min("m").alias("m")).select(F.col("m._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = best.join(of, F.col("_fp") == F.col("fp")).groupBy("cls").agg(F.min("m").alias("m")).select(F.col(f"m.{ROW}").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)

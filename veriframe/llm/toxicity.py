@@ -49,6 +49,8 @@ WHOLE = 0.5
 #: Weight of all positive, and of all negative, sentences against the machine's norm.
 COST = 3000.0
 TABLE_BITS = 17
+#: Reserved column of ``drop_toxic``.
+SCORE = "__toxicity_score"
 GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 EDGES = re.compile(r"^\W+|\W+$")
 SIGNS = re.compile(r"[\W_]+")
@@ -414,4 +416,4 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their columns."""
     model = train(*sample(docs, labels))
-    return with_score(docs, model).where(F.col("_score") < 0.5).drop("_score")
+    return with_score(docs, model, SCORE).where(F.col(SCORE) < 0.5).drop(SCORE)

@@ -419,6 +419,17 @@ def test_pages(spark, empty):
     assert pages.extract(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_copies_of_pages_keep_their_text(spark):
+    menu, text = "home about contact prices offers staff news archive", "one two three four five six seven eight nine"
+    page = "<div><p>{}</p><p>{}</p></div>"
+    rows = [(1, "http://a.example/1", page.format(menu, text))] * 2  # repeated rows
+    rows += [(2, "http://a.example/2", f"<body>{page.format(menu, text)}</body>")]  # the same text
+    rows += [(3, "http://a.example/3", page.format(menu, "its own words"))]
+    rows += [(4, "http://b.example/1", page.format(menu, text)), (5, "http://b.example/2", page.format(menu, text))]
+    got = sorted((r["page_id"], r["text"]) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(1, text), (1, text), (2, text), (3, "its own words"), (4, f"{menu} {text}"), (5, f"{menu} {text}")]
+
+
 def test_repeated_runs_by_force():
     rng = np.random.default_rng(4)
     tokens, page, outside = rng.integers(0, 3, 400), np.repeat(np.arange(8), 50), rng.random(400) < 0.6

@@ -430,6 +430,37 @@ def test_copies_of_pages_keep_their_text(spark):
     assert got == [(1, text), (1, text), (2, text), (3, "its own words"), (4, f"{menu} {text}"), (5, f"{menu} {text}")]
 
 
+def test_runs_are_counted_over_all_shards(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    phrases = [" ".join(rng.choice(list("abcdefgh"), 9)) for _ in range(12)]
+    rows = []
+    for k in range(120):
+        own = [" ".join(f"w{k % 50}x{n}" for n in range(a, a + 6)) for a in (0, 6)]
+        said = [phrases[j] for j in rng.integers(0, len(phrases), 3)]
+        body = f"<p>{own[0]}</p><p>{said[0]}</p><div class=menu>{said[1]}</div><p>{own[1]} {said[2]}</p>"
+        rows.append((k, f"http://{'ab'[k % 7 == 0]}.example/{k}", f"<article>{body}</article><p>{said[0]}</p>" if k % 3 == 0 else body))
+    want = []
+    for host in "ab":
+        own = [(k, *pages.laid_out(html)) for k, url, html in rows if url.startswith(f"http://{host}.")]
+        number = {}
+        distinct = {(number.setdefault(tuple(t), len(number)), z.tobytes()): (t, z) for _, t, z in own}
+        word = {}
+        tokens = np.array([word.setdefault(t, len(word)) for t, _ in distinct.values() for t in t])
+        page = np.concatenate([np.full(len(t), k) for (k, _), (t, _) in distinct.items()])
+        zones = np.concatenate([z for _, z in distinct.values()])
+        covered, at, drops = pages.repeated(tokens, page, zones != pages.MAIN), 0, {}
+        for key, (t, _) in distinct.items():
+            drops[key], at = covered[at : at + len(t)], at + len(t)
+        for k, t, z in own:
+            drop = drops[number[tuple(t)], z.tobytes()] & (z != pages.MAIN)
+            want.append((k, " ".join(w for w, d, zone in zip(t, drop, z, strict=True) if zone != pages.OUT and not d)))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for size in (1, 400, pages.SHARD_BYTES):
+        monkeypatch.setattr(pages, "SHARD_BYTES", size)
+        assert sorted((r["page_id"], r["text"]) for r in pages.extract(table).collect()) == sorted(want), size
+    assert len({t for _, t in want}) > 40
+
+
 def test_repeated_runs_by_force():
     rng = np.random.default_rng(4)
     tokens, page, outside = rng.integers(0, 3, 400), np.repeat(np.arange(8), 50), rng.random(400) < 0.6

@@ -104,6 +104,20 @@ def test_packing(docs, rows, odd, empty, library):
     assert packing.pack_documents(empty).collect() == []
 
 
+def test_underfull_bins_of_groups_meet(spark):
+    lengths = np.random.default_rng(8).integers(1, 60, 2000).tolist()
+    table = spark.createDataFrame([(k, 0, 0, n, 0, k) for k, n in enumerate(lengths)], packing.PIECES)
+    got = packing.packed(packing.cut(table), 100, 50).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in got) == list(enumerate(lengths))
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 100
+    print("bins", len(ends), "of at least", -(-sum(lengths) // 100))
+    assert len(ends) <= -(-sum(lengths) // 100) + 3
+
+
 def test_local_search_empties_bins():
     # Best fit leaves a bin too many here; exchanges drain it.
     lengths = [6, 6, 5, 5, 5, 4, 4, 3, 2]

@@ -6,6 +6,8 @@ in a task: first best fit by falling length, then a local search over the underf
 The search moves a piece to a fuller bin, exchanges one piece for one, or two for one,
 whenever that raises the sum of squared fills; so bins drain until some are empty. It ends
 at a local optimum, or once the count of bins equals the lower bound of the group.
+Pieces of the bins that all groups leave at ``OPEN_FILL`` of a sequence or less are then
+gathered, dealt anew and packed again, until no bin empties or one group holds them all.
 
 Defined results: a null or empty text is the end id alone; repeated rows (null ids too) are
 packed each for itself; an empty table gives no piece. Columns beyond ``doc_id`` and
@@ -29,6 +31,8 @@ from veriframe.session import cut
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 20_000
+OPEN_FILL = 0.95
+BROADCAST_BINS = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, tag long"
 
 
@@ -167,21 +171,46 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 def packed(table: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces; ``table`` must be a written one."""
-    total = table.count()
-    groups = max(1, round(total / group_pieces))
-
-    def run(frame):
-        lengths = frame["length"].tolist()
-        sequence, offset = np.zeros(len(frame), dtype=np.int64), np.zeros(len(frame), dtype=np.int64)
-        for k, members in enumerate(pack(lengths, capacity)):
-            at = 0
-            for i in members:
-                sequence[i], offset[i] = k, at
-                at += lengths[i]
-        return frame.assign(sequence_id=(frame["_group"].to_numpy() << 32) + sequence, offset=offset).drop(columns="_group")
-
-    dealt = table.withColumn("_group", F.pmod(F.xxhash64("tag", "piece"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(run, f"{PIECES}, sequence_id long, offset long")
+    used = 0  # groups of the rounds before; sequence ids go on from there
+
+    def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+        nonlocal used
+        groups, before = max(1, round(rows.count() / group_pieces)), used
+        used += groups
+
+        def run(frame):
+            lengths = frame["length"].tolist()
+            sequence, offset = np.zeros(len(frame), dtype=np.int64), np.zeros(len(frame), dtype=np.int64)
+            for k, members in enumerate(pack(lengths, capacity)):
+                at = 0
+                for i in members:
+                    sequence[i], offset[i] = k, at
+                    at += lengths[i]
+            return frame.assign(sequence_id=(before + frame["_group"].to_numpy() << 32) + sequence, offset=offset).drop(columns="_group")
+
+        rows = rows.withColumn("_group", F.pmod(F.xxhash64("tag", "piece", F.lit(before)) if before else F.xxhash64("tag", "piece"), F.lit(groups)))
+        return rows.groupBy("_group").applyInPandas(run, f"{PIECES}, sequence_id long, offset long"), groups
+
+    latest, groups = dealt(table)
+    if groups == 1:
+        return latest
+    latest, done = cut(latest), []
+    while groups > 1:
+        bins = latest.groupBy("sequence_id").agg(F.sum("length").alias("_fill"))
+        bins = cut(bins.where(F.col("_fill") <= OPEN_FILL * capacity).select("sequence_id"))
+        count = bins.count()
+        if count < 2:
+            break
+        few = F.broadcast(bins) if count <= BROADCAST_BINS else bins
+        again, groups = dealt(cut(latest.join(few, "sequence_id", "left_semi").drop("sequence_id", "offset")))
+        again = cut(again)
+        if again.select("sequence_id").distinct().count() >= count:
+            break
+        done.append(latest.join(few, "sequence_id", "left_anti"))
+        latest = again
+    for part in done:
+        latest = latest.unionByName(part)
+    return latest
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

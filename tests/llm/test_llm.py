@@ -165,6 +165,31 @@ def test_any_token_by_itself(tmp_path):
     assert all((got == ids[d : d + 100]).all() for d, _, got in reader.documents())
 
 
+def test_a_token_needs_few_bytes(tmp_path, monkeypatch):
+    ids = np.random.default_rng(5).choice([0, 255, 256, 49407, 2**31], 20000).astype("<u4")
+    writer = token_files.FileWriter(str(tmp_path / "z.dac"))
+    for k in range(0, 20000, 1000):
+        writer.add(k, ids[k : k + 1000].tobytes())
+    writer.close()
+    reader = token_files.FileReader(str(tmp_path / "z.dac"))
+    file, sizes = reader.file, []
+
+    class Counted:
+        def read_at(self, n, at):
+            sizes.append(n)
+            return file.read_at(n, at)
+
+    reader.file = Counted()
+    for i in range(0, 20000, 97):
+        sizes.clear()
+        assert reader.token(i) == ids[i] and sum(sizes) <= 4 * (1 + 64 + 4)
+    reader.file = file
+    assert (np.concatenate([d for _, _, d in reader.verified()]) == ids).all()
+    monkeypatch.setattr(token_files.FileReader, "token", lambda self, i: -1)
+    with pytest.raises(ValueError, match="by itself"):
+        list(reader.verified())
+
+
 def test_segments_that_cut_documents(tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT_TOKENS", 64)
     parts = [np.random.default_rng(k).integers(0, 50000, n).astype("<u4") for k, n in enumerate([10, 200, 1, 64, 63, 300, 5])]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriframe.llm import bpe, language, order_minhash, packing, pages, quality, sharding, simhash, token_files, toxicity
+from veriframe.llm import bpe, fill_middle, language, order_minhash, packing, pages, prefix_trie, quality, sharding, simhash, token_files, toxicity, warc
 
 
 def _docs(spark, sf_dir):
@@ -20,6 +20,14 @@ QUERIES = {
     "op8_output_code_language": lambda spark, sf_dir: language.identify(_docs(spark, sf_dir)),
     "op9_host_suffix_array": lambda spark, sf_dir: pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")),
     "op10_mcd_quality_rules": lambda spark, sf_dir: quality.quality_verdicts(_docs(spark, sf_dir)),
+    "op11_warc_salvage": lambda spark, sf_dir: warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")),
+    "op12_seekable_fill_middle": lambda spark, sf_dir: fill_middle.fill_in_middle(_docs(spark, sf_dir)),
+    "op13_veb_prefix_trie": lambda spark, sf_dir: prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
 }
 
-ORACLES = {"op4_rendezvous_sharding": sharding.oracle()}
+ORACLES = {
+    "op4_rendezvous_sharding": sharding.oracle(),
+    "op11_warc_salvage": warc.ORACLE,
+    "op12_seekable_fill_middle": fill_middle.ORACLE,
+    "op13_veb_prefix_trie": prefix_trie.oracle(),
+}

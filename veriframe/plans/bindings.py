@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriframe.operators import integrity
 from veriframe.plans.registry import Tables, values
+from veriframe.session import stored
 from veriframe.sources.profiles import STATUSES, profile_v1, profile_v2
 
 V2 = profile_v2()
@@ -42,6 +44,15 @@ def line_facts(t: Tables) -> DataFrame:
     )
 
 
+class Dealt(Tables):
+    """Tables whose lines are read once, cut to the columns used here and dealt evenly, for plans that read them often."""
+
+    def __init__(self, t: Tables):
+        super().__init__(t.spark, t.dir)
+        used = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+        self.lineitem = stored(t.lineitem.select(*used).repartition("l_orderkey", "l_linenumber"))
+
+
 LINES_SQL = f"""lines AS (
  SELECT *, (ARRAY[{', '.join("'" + s + "'" for s in STATUSES)}])[code + 1] AS status,
         (ARRAY[{', '.join("'" + b + "'" for b in BLOCK_ORDER)}])[l_linenumber + shift] AS block,
@@ -138,6 +149,34 @@ def manifest(t: Tables) -> dict[str, DataFrame]:
     }
 
 
+def integrity_rows(t: Tables, ev: DataFrame) -> DataFrame:
+    """The manifest above and the evidence as rows of one table, from one scan of the lines."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    me = F.col("artifact_id")
+    node = lambda k: F.concat(F.lit("n"), (n + k).cast("string"))
+    digest = F.concat(F.lit("sha256:"), F.sha2(F.col("l_partkey").cast("string"), 256))
+    back = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (q > 45)
+    sourced = F.col("l_discount") != 0.09
+
+    def row(kind, **values):
+        return F.struct(*integrity.row(kind, package_id=F.col("package_id"), **values))
+
+    kinds = F.array(
+        row("artifact", key=me, flag=(F.col("l_tax") == 0.08) & (q > 40), declared_sha256=digest,
+            study_id=F.when(F.col("l_suppkey") % 10 == 0, "").otherwise(F.concat(F.lit("s"), F.col("l_suppkey") % 5)),
+            data_generation_id=F.concat(F.lit("g"), F.col("l_partkey") % 3),
+            cohorts=F.array(F.concat(F.lit("c"), F.col("l_suppkey") % 7), F.concat(F.lit("d"), F.col("l_partkey") % 11))),
+        F.when(n > 1, row("derived", key=me, other=node(-1))),
+        F.when(back, row("derived", key=me, other=node(1))),
+        row("lineage", key=F.col("block"), flag=sourced),
+        F.when(sourced, row("source", key=me)),
+        F.when(F.col("l_discount") != 0.08, row("attested", key=F.when(q == 49, F.lit("undeclared_block")).otherwise(F.col("block")), other=me, status=F.col("status"))),
+        F.when(q > 40, row("independent", key=me, other=F.when(q == 50, me).otherwise(node(1)))),
+        F.when(F.col("l_discount") == 0.05, row("disjoint", key=me, other=F.when(F.col("l_tax") == 0.0, me).otherwise(node(-1)))),
+    )
+    return line_facts(t).select(F.explode(kinds).alias("r")).where("r IS NOT NULL").select("r.*").unionByName(integrity.block_rows(ev))
+
+
 MANIFEST_SQL = EVIDENCE_SQL + f""",
 art AS (SELECT package_id, artifact_id, l_linenumber AS n, 'sha256:' || sha256(l_partkey::VARCHAR) AS declared,
   CASE WHEN l_tax=0.08 AND l_quantity>40 THEN 'sha256:stale' ELSE 'sha256:' || sha256(l_partkey::VARCHAR) END AS observed,

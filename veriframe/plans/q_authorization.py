@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veriframe.operators import compose, domain, integrity, structural
+from veriframe.operators import compose, cycles, domain, integrity, structural
 from veriframe.plans import bindings as B
 from veriframe.plans.registry import query, values
+from veriframe.session import stored
 
 V2, V1 = B.V2, B.V1
 STAT5 = ("failed", "requires_review", "unknown", "not_applicable", "passed")
@@ -157,6 +158,11 @@ def g09(t):
 
 # ---- integrity -----------------------------------------------------------
 
+def package_deficits(t, ev):
+    """Deficits of all orders as packages; the lines are scanned once, for the rows of the manifest."""
+    return integrity.deficits_of(B.integrity_rows(t, ev), B.manifest(t)["packages"], V2)
+
+
 def _codes(*names):
     return f"WITH RECURSIVE {B.INTEGRITY_SQL} SELECT package_id, code, witness FROM integ WHERE code IN ({', '.join(repr(n) for n in names)})"
 
@@ -233,23 +239,58 @@ def n02(t):
         F.count_distinct(F.concat("study_id", "data_generation_id")).alias("n_origins"))
 
 
+@query("n01_cycle_paths", f"WITH RECURSIVE {B.MANIFEST_SQL}{B.CYCLE_SQL} SELECT DISTINCT package_id, true AS closed, true AS simple FROM onc")
+def n01_paths(t):
+    """Every package with a cycle, and whether its reported path is one: each artifact derived from the next, the last from the first, none twice."""
+    edges = integrity.provenance_edges(B.manifest(t)["artifacts"])
+    path = stored(cycles.cycle_paths(edges))
+    size = path.groupBy("package_id").agg(F.count("*").alias("n"), F.count_distinct("artifact_id").alias("distinct"))
+    onward = path.select("package_id", "position", F.col("artifact_id").alias("parent"))
+    steps = path.join(size, "package_id").withColumn("next", F.pmod(F.col("position") + 1, F.col("n")))
+    steps = steps.join(onward.withColumnRenamed("position", "next"), ["package_id", "next"]).withColumnRenamed("artifact_id", "child")
+    real = steps.join(edges, ["package_id", "child", "parent"], "left_semi").groupBy("package_id").agg(F.count("*").alias("real"))
+    return size.join(real, "package_id", "left").select("package_id", (F.col("real") == F.col("n")).alias("closed"), (F.col("distinct") == F.col("n")).alias("simple"))
+
+
+@query("n01_walked_cycles", f"""WITH RECURSIVE {B.MANIFEST_SQL}{B.CYCLE_SQL},
+ f AS (SELECT e.package_id, e.child AS v, min(e.parent) AS w FROM edges e JOIN core c ON c.package_id=e.package_id AND c.a=e.child JOIN core d ON d.package_id=e.package_id AND d.a=e.parent GROUP BY 1,2),
+ w AS (SELECT package_id, min(a) AS v, 0 AS k FROM core GROUP BY 1 UNION ALL SELECT w.package_id, f.w, k+1 FROM w JOIN f USING (package_id, v) WHERE k<16),
+ l AS (SELECT DISTINCT package_id, v FROM w WHERE k>=8),
+ o AS (SELECT package_id, min(v) AS v, 0 AS position FROM l GROUP BY 1 UNION ALL SELECT o.package_id, f.w, o.position+1 FROM o JOIN f USING (package_id, v) WHERE o.position+1 < (SELECT count(*) FROM l WHERE l.package_id=o.package_id))
+ SELECT package_id, (SELECT min(a) FROM core c WHERE c.package_id=o.package_id) AS smallest, position::BIGINT AS position, v AS artifact_id FROM o""")
+def n01_walks(t):
+    return cycles.cycle_paths(integrity.provenance_edges(B.manifest(t)["artifacts"]))
+
+
+@query("g02_refused_blocks", f"WITH {B.LINES_SQL} SELECT package_id, block AS witness, count(*) AS n FROM lines GROUP BY 1,2 HAVING count(*)>1")
+def g02_refused(t):
+    """Lines as facts, not merged by block: a block stated twice is refused whatever its status."""
+    facts = B.line_facts(t)
+    refused = integrity.counted_deficits(integrity.block_rows(facts)).filter(F.col("code") == integrity.REFUSED)
+    n = facts.groupBy("package_id", F.col("block").alias("witness")).agg(F.count("*").alias("n"))
+    return refused.join(n, ["package_id", "witness"]).select("package_id", "witness", "n")
+
+
 @query("g02_integrity_gate", f"WITH RECURSIVE {B.INTEGRITY_SQL} SELECT package_id, code, count(*) AS n_witnesses, min(CASE WHEN code<>'profile_identity_mismatch' THEN witness END) AS first_witness FROM integ GROUP BY 1,2")
 def g02(t):
-    rows = integrity.deficits(B.manifest(t), B.evidence(t), V2)
+    t = B.Dealt(t)
+    rows = package_deficits(t, B.evidence(t))
     return rows.groupBy("package_id", "code").agg(F.count("*").alias("n_witnesses"), F.min(F.when(F.col("code") != "profile_identity_mismatch", F.col("witness"))).alias("first_witness"))
 
 
 @query("t08_canonical_trace", f"""WITH RECURSIVE {B.INTEGRITY_SQL}, per AS (SELECT package_id, code, count(*) AS n FROM integ GROUP BY 1,2)
  SELECT package_id, string_agg(code||':'||n, '|' ORDER BY code) AS trace, count(*) AS n_codes, sum(n)::BIGINT AS n_witnesses FROM per GROUP BY 1""")
 def t08(t):
-    return integrity.code_counts(integrity.deficits(B.manifest(t), B.evidence(t), V2)).withColumn("trace", joined("trace"))
+    t = B.Dealt(t)
+    return integrity.code_counts(package_deficits(t, B.evidence(t))).withColumn("trace", joined("trace"))
 
 
 @query("g07_domain_and_integrity", f"""WITH RECURSIVE {B.INTEGRITY_SQL}{B.DOMAIN_SQL[len(B.EVIDENCE_SQL):]}, bad AS (SELECT DISTINCT package_id FROM integ)
  SELECT claim, d.ok AS domain_ok, b.package_id IS NULL AS integrity_ok, (d.ok AND b.package_id IS NULL) AS authorized, count(*) AS n FROM domain d LEFT JOIN bad b USING (package_id) GROUP BY ALL""")
 def g07(t):
-    ev = B.evidence(t)
-    out = compose.domain_and_integrity(domain.infer_all(B.packages(t), ev, V2), integrity.deficits(B.manifest(t), ev, V2))
+    t = B.Dealt(t)
+    ev = stored(B.evidence(t))
+    out = compose.domain_and_integrity(domain.infer_all(B.packages(t), ev, V2), package_deficits(t, ev))
     return out.groupBy("claim", (F.col("status") == "profile_authorized").alias("domain_ok"), "integrity_ok", "authorized").agg(F.count("*").alias("n"))
 
 
@@ -288,8 +329,10 @@ _G06 = f"""WITH RECURSIVE {B.INTEGRITY_SQL}{B.DOMAIN_SQL[len(B.EVIDENCE_SQL):]}{
 
 
 def final(t):
-    ev = B.evidence(t)
-    return compose.final_authorization(domain.infer_all(B.packages(t), ev, V2), structural_deficits(t), integrity.deficits(B.manifest(t), ev, V2))
+    t = B.Dealt(t)
+    ev = stored(B.evidence(t))
+    structure = structural.deficits(structural_requests(t), B.packages(t), ev, V2)
+    return compose.final_authorization(domain.infer_all(B.packages(t), ev, V2), structure, package_deficits(t, ev))
 
 
 @query("g06_final_authorization", _G06 + " SELECT *, structural_ok AND domain_ok AND integrity_ok AS authorized FROM fin")

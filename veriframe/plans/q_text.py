@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import text as X
 from veriframe.operators import retrieval as R
+from veriframe.operators.top_retrieval import bm25_top_k
 from veriframe.plans.registry import query, values
+from veriframe.session import stored
 
 r6 = lambda c: F.round(c, 6)
 
@@ -184,7 +186,7 @@ def j27(t):
 
 
 def top5(t):
-    return R.top_k(R.bm25(t.documents, claims(t)), t.documents, claims(t), 5)
+    return bm25_top_k(t.documents, claims(t), 5)
 
 
 @query("t01_bm25_top_k", f"WITH {_BM} SELECT item_id AS query_id, rank, doc_id, round(score,6) AS score FROM topk")
@@ -233,7 +235,7 @@ _AUD = f"""WITH {_RAT}, {_CIT}, {_LEX}, {_GOLD}, a AS (SELECT b.item_id, coalesc
 
 def audit_rows(t):
     """One row per claim with retrieval features, labels and policy decisions."""
-    q, top, ev = claims(t), top5(t), cited(t)
+    q, top, ev = claims(t), stored(top5(t)), cited(t)  # five rows a claim, read three times
     one = top.groupBy("query_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score"), F.max(F.when(F.col("rank") == 1, F.col("doc_id"))).alias("top_doc"),
         F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0)).alias("second"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialize ``df`` in the shared checkpoint folder and drop its lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again, for tables with several readers."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

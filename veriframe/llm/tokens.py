@@ -15,12 +15,13 @@ from functools import lru_cache
 
 import regex
 
-#: Chunks, and words, remembered by a worker; beyond that the memory starts afresh.
-REMEMBERED = 1_000_000
+#: Chunks remembered by a worker, in two generations; the older goes when the younger is full.
+REMEMBERED = 1_600_000
 #: str.split() parts at these, the vocabulary's pattern does not.
 ODD_BLANKS = re.compile(r"[\x1c-\x1f]")
 #: Below this character no normal form changes anything.
 PLAIN = "\u0250"
+NOT_PLAIN = re.compile("[\u0250-\U0010ffff]")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -87,39 +88,59 @@ def chunks_of(text: str) -> list[str]:
 
 
 class WordIds:
-    """Ids of a text as little-endian unsigned 32-bit integers in bytes."""
+    """Ids of texts as little-endian unsigned 32-bit integers in bytes.
+
+    Texts whose letters have plain lower forms are lowered as a whole, so a word is learnt once whatever its
+    case. The memory has two generations of half the size each: what is used again moves to the younger one."""
 
     def __init__(self, path: str):
         self.splitter = Splitter(path)
         self.known: dict[str, bytes] = {}
-        self.of_word: dict[str | int, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.of_word: dict[str | int, bytes] = {}  # parts that aren't chunks of letters
 
-    def _word(self, word: str | int) -> bytes:
+    def _ids(self, word: str | tuple[str] | int) -> bytes:
         ids = [word] if isinstance(word, int) else [t.id for t in self.splitter.model.tokenize(self.splitter.spelled(word))]
-        self.of_word[word] = data = struct.pack(f"<{len(ids)}I", *ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str | tuple[str] | int) -> bytes:
+        """A part of a chunk; words of letters are chunks of their own."""
+        memory = self.known if isinstance(word, str) and word.isalpha() else self.of_word
+        data = memory.get(word)
+        if data is None:
+            data = memory[word] = self._ids(word)
         return data
 
-    def _learn(self, chunks: list[str]) -> None:
-        for memory in (self.known, self.of_word):
-            if len(memory) > REMEMBERED:
-                memory.clear()
-        get, words = self.of_word.get, self.splitter.words
-        for chunk in chunks:
-            self.known[chunk] = b"".join([get(w) or self._word(w) for w in words(chunk)])
+    def _learn(self, chunk: str) -> bytes:
+        data = self.older.get(chunk)
+        if data is None:
+            parts = self.splitter.words(chunk)
+            data = self._word(parts[0]) if len(parts) == 1 else b"".join([self._word(w) for w in parts])
+        self.known[chunk] = data
+        return data
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        chunks = chunks_of(text)
-        found = list(map(self.known.get, chunks))
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        if len(self.of_word) > REMEMBERED:
+            self.of_word.clear()
+        chunks = chunks_of(self.lowered(text))
+        get = self.known.get
+        found = list(map(get, chunks))
         if None in found:
-            self._learn(list(dict.fromkeys(c for c, f in zip(chunks, found, strict=True) if f is None)))
-            found = list(map(self.known.get, chunks))
-            if None in found:  # the memory was cleared on the way
-                self._learn(list(dict.fromkeys(chunks)))
-                found = list(map(self.known.__getitem__, chunks))
+            for i, data in enumerate(found):
+                if data is None:  # unless it was learnt earlier in this text
+                    found[i] = get(chunks[i]) or self._learn(chunks[i])
         return b"".join(found)
 
+    def lowered(self, text: str) -> str:
+        """The text in lower case where that is all that its normal form does; special tokens keep theirs."""
+        if ("<|" in text and self.splitter.special) or not (text.isascii() or NOT_PLAIN.search(text) is None):
+            return text
+        return text.lower()
+
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:

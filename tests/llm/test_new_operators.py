@@ -320,3 +320,18 @@ def test_prefix_trie_of_shared_and_hot_turns(spark, monkeypatch):
     rows += [(200, 5, "user", "again", None, None)] * 20 + [(201, k, "user", "again", None, None) for k in range(17)]
     got = columns(prefix_trie.prefix_trie(spark.createDataFrame(rows, TURN).repartition(5)), *NODE)
     assert got == expected_trie(rows)
+
+
+# ---- earlier operators: bounds that must not depend on ids ------------------------------------
+
+
+@pytest.mark.parametrize("doc_id", [None, 1, 7])
+def test_language_sample_under_one_id(spark, doc_id):
+    from veriframe.llm import language
+
+    words = {"en": ["the", "house", "and", "garden"], "de": ["das", "haus", "und", "garten"]}
+    rows = [(doc_id, f"{' '.join(w)} {k}", lang) for k in range(3000) for lang, w in words.items()] + [(doc_id, "copy of one text", "en")] * 2000
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = language.sample(table)
+    held = zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 3 == 1
+    assert Counter(langs) == ({} if held else {"en": language.SAMPLE, "de": language.SAMPLE}) and len(set(texts)) == len(texts)

@@ -175,3 +175,38 @@ def test_null_groups_and_text_keys_stay(spark):
     assert tests.count() == 4 and tests.where("v IS NULL AND q IS NOT NULL").count() == 0
     drawn = inference.bootstrap_counts(df, ["g"], "k", 5, "seed").groupBy("rep", "g").agg(F.sum("times").alias("n")).collect()
     assert all(r["n"] == 2 for r in drawn if r["g"] == "a")
+
+
+def test_path_lengths_equal_breadth_first_search(spark):
+    rng = random.Random(4)
+    nodes = list(range(-10, 140))
+    edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(230)] + [(5, 5)]
+    want = {}
+    for s in nodes:
+        dist, queue = {s: 0}, [s]
+        for v in queue:
+            for a, b in edges:
+                if a == v and b not in dist:
+                    dist[b] = dist[v] + 1
+                    queue.append(b)
+        for v, d in dist.items():
+            if v != s:
+                want[d] = want.get(d, 0) + 1
+    e = spark.createDataFrame(edges, "source_id bigint, target_id bigint")
+    got = graph.path_lengths(e, spark.createDataFrame([(n,) for n in nodes], "node bigint"))
+    assert {r["hops"]: r["pairs"] for r in got.collect()} == want
+    assert graph.path_lengths(e.limit(0), spark.createDataFrame([], "node bigint")).collect() == []
+
+
+def test_stored_claim_specs_have_defaults(spark, tmp_path):
+    import pytest
+
+    from veriframe.sources.specs import read_claim_specs
+
+    (tmp_path / "a").write_text('{"claim_id": "c1", "claim_type": "causal", "scope": "all", "permitted_wording": "w"}\n')
+    row = read_claim_specs(spark, f"file://{tmp_path}/a").first()
+    assert (row["evidence_family"], row["severity"], row["uncertainty_policy"]) == ("causal", "medium", "deterministic")
+    assert row["blocked_wording"] == [] and row["required_artifacts"] == [] and row["non_compensatory_requirements"] == []
+    (tmp_path / "b").write_text('{"claim_id": "c1", "claim_type": "causal", "permitted_wording": "w"}\n')
+    with pytest.raises(Exception, match="without scope"):
+        read_claim_specs(spark, f"file://{tmp_path}/b").collect()

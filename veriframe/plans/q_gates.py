@@ -387,8 +387,11 @@ def scored_attacks(t, masks):
     cases = attack_cases(t, masks)
     ev = scenarios.complete_evidence(cases, V2)
     rows = integrity.deficits(scenarios.attacked_manifest(cases, V2), ev, V2)
-    obs = scenarios.observed_codes(cases, rows)
-    return obs.withColumn("expected", scenarios.expected_codes(F.col("attacks"))).withColumn("attacked", F.col("attacks") != 0).withColumn("core_authorized", F.lit(True))
+    obs = scenarios.observed_codes(cases, rows).withColumn("expected", scenarios.expected_codes(F.col("attacks")))
+    facts = domain.status_masks(domain.evaluate_facts(ev, V2), V2)
+    decided = domain.decide_from_masks(cases.select("package_id", "claim").join(facts, "package_id", "left"), V2, "claim")
+    core = decided.select("package_id", (F.col("status") == "profile_authorized").alias("core_authorized"))
+    return obs.withColumn("attacked", F.col("attacks") != 0).join(core, "package_id")
 
 
 def _attack_sql(masks):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veriframe.operators.gates import clip01
 from veriframe.plans.registry import query
 from veriframe.session import checkpoint_dir
-from veriframe.sources import files, sinks
+from veriframe.sources import files, sinks, specs
 
 
 def _place(t, name: str) -> str:
@@ -92,3 +92,25 @@ def s17_sink(t):
 def h11(t):
     x = F.col("l_quantity") / 40 - 0.1
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(clip01(x), 9).alias("clipped"))
+
+
+@query("s11_claim_specs", """SELECT 'c' || p_partkey AS claim_id, p_type AS claim_type, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE p_type END AS evidence_family,
+ CASE WHEN p_size % 4 = 0 THEN 'high' ELSE 'medium' END AS severity, CASE WHEN p_size % 5 = 0 THEN 'interval' ELSE 'deterministic' END AS uncertainty_policy,
+ CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS blocked, 0::BIGINT AS patterns, 1::BIGINT AS artifacts, CASE WHEN p_size % 2 = 0 THEN round(p_retailprice, 2) END AS min FROM part""")
+def s11(t):
+    """A specification per part, stored with fields left out, and read back with their defaults."""
+    path, size = _place(t, "specs"), F.col("p_size")
+    test = F.struct(F.lit("price").alias("key"), F.when(size % 2 == 0, F.round("p_retailprice", 2)).cast("double").alias("min"))
+    fields = F.struct(
+        F.concat(F.lit("c"), F.col("p_partkey")).alias("claim_id"), F.col("p_type").alias("claim_type"), F.col("p_name").alias("scope"), F.col("p_name").alias("permitted_wording"),
+        F.when(size % 3 == 0, F.col("p_brand")).alias("evidence_family"), F.when(size % 4 == 0, F.lit("high")).alias("severity"),
+        F.when(size % 5 == 0, F.lit("interval")).alias("uncertainty_policy"), F.when(size % 2 == 0, F.array(F.col("p_name"), F.col("p_type"))).alias("blocked_wording"),
+        F.array(F.struct(F.concat(F.lit("part/"), F.col("p_partkey")).alias("path"), F.array(test).alias("expectations"))).alias("required_artifacts"))
+    t.part.select(F.to_json(fields).alias("value")).write.text(path)
+    got = specs.read_claim_specs(t.spark, path)
+    least = specs.expectations(got).select("claim_id", "min")
+    count = lambda c: F.size(c).cast("bigint")
+    flat = got.select(
+        "claim_id", "claim_type", "evidence_family", "severity", "uncertainty_policy", count("blocked_wording").alias("blocked"),
+        count("blocked_patterns").alias("patterns"), count("required_artifacts").alias("artifacts"))
+    return flat.join(least, "claim_id")

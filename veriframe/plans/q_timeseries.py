@@ -270,9 +270,22 @@ _HOPS = f"WITH RECURSIVE {FL}, h AS (SELECT n_nationkey AS source, n_nationkey A
 
 @query("n08_shortest_paths", _HOPS + " SELECT round(avg(hops),9) AS mean_finite_path_length, count(*)::DOUBLE AS reachable_pairs FROM d WHERE source<>node")
 def n08(t):
-    starts = t.nation.select(F.col("n_nationkey").alias("source"), F.col("n_nationkey").alias("node"))
-    d = graph.hop_distances(big_edges(t), starts).filter("source <> node")
-    return d.agg(r9(F.coalesce(F.avg("hops"), F.lit(0.0))).alias("mean_finite_path_length"), F.count("*").cast("double").alias("reachable_pairs"))
+    d = graph.path_lengths(big_edges(t), t.nation.select(F.col("n_nationkey").alias("node")))
+    total = F.coalesce(F.sum("pairs"), F.lit(0))
+    return d.agg(r9(F.coalesce(F.try_divide(F.sum(F.col("hops") * F.col("pairs")), total), F.lit(0.0))).alias("mean_finite_path_length"), total.cast("double").alias("reachable_pairs"))
+
+
+_PART_STEPS = "e AS (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON b.l_orderkey=a.l_orderkey AND b.l_linenumber=a.l_linenumber+1 WHERE a.l_partkey<>b.l_partkey)"
+
+
+@query("n08_part_paths", f"""WITH RECURSIVE {_PART_STEPS}, h AS (SELECT p_partkey AS s, p_partkey AS v, 0 AS hops FROM part UNION SELECT h.s, e.t, h.hops+1 FROM h JOIN e ON e.s=h.v WHERE h.hops<5),
+ d AS (SELECT s, v, min(hops) AS hops FROM h GROUP BY 1,2) SELECT hops::BIGINT AS hops, count(*) AS pairs FROM d WHERE hops BETWEEN 1 AND 5 GROUP BY 1""")
+def n08_parts(t):
+    """Hops between parts, an edge from each part to the one on the next line of an order; all edges, all pairs."""
+    line = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("target_id"))
+    edges = line.withColumnRenamed("l_partkey", "source_id").join(after, ["l_orderkey", "l_linenumber"]).select("source_id", "target_id")
+    return graph.path_lengths(edges, t.part.select(F.col("p_partkey").alias("node")))
 
 
 @query("n09_propagation_distance", _HOPS + " SELECT round(coalesce(avg(m),0),9) AS distance FROM (SELECT node, min(hops) AS m FROM d WHERE source IN (SELECT n_nationkey FROM nation WHERE n_regionkey=0) AND node IN (SELECT n_nationkey FROM nation WHERE n_regionkey<>0) GROUP BY 1)")

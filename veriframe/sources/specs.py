@@ -33,6 +33,27 @@ def claim_specs(spark: SparkSession, claims: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, SPEC)
 
 
+#: Fields of a stored specification and what an absent one means.
+STORED = SPEC + ", non_compensatory_requirements array<string>, uncertainty_policy string"
+
+
+def read_claim_specs(spark: SparkSession, path: str) -> DataFrame:
+    """Specifications from JSON lines, any number of them.
+
+    An absent evidence family is the claim type, an absent severity ``medium``, an absent policy
+    ``deterministic``, absent lists are empty. A line without id, type, scope or permitted
+    wording raises, as a contract that names nothing can't be audited.
+    """
+    raw = spark.read.schema(STORED).json(path)
+    must = ("claim_id", "claim_type", "scope", "permitted_wording")
+    lacking = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in must])
+    claim = F.when(lacking != "", F.raise_error(F.concat(F.lit("claim specification without "), lacking))).otherwise(F.col("claim_id"))
+    types = {f.name: f.dataType for f in raw.schema.fields}
+    default = {"evidence_family": F.col("claim_type"), "severity": F.lit("medium"), "uncertainty_policy": F.lit("deterministic")}
+    empty = {n: F.array().cast(t) for n, t in types.items() if t.typeName() == "array"}
+    return raw.select(*[claim.alias(n) if n == "claim_id" else F.coalesce(F.col(n), (default | empty)[n]).alias(n) if n in default | empty else F.col(n) for n in types])
+
+
 def expectations(specs: DataFrame) -> DataFrame:
     """One row per expected value; artifacts without expectations keep one row with null tests."""
     a = specs.select("claim_id", F.explode("required_artifacts").alias("a"))

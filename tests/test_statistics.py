@@ -210,3 +210,14 @@ def test_stored_claim_specs_have_defaults(spark, tmp_path):
     (tmp_path / "b").write_text('{"claim_id": "c1", "claim_type": "causal", "permitted_wording": "w"}\n')
     with pytest.raises(Exception, match="without scope"):
         read_claim_specs(spark, f"file://{tmp_path}/b").collect()
+
+
+def test_continuous_frontier_equals_all_pairs(spark):
+    rng = random.Random(3)
+    pts = [(i, rng.choice([1.0, rng.random()]), rng.random(), rng.random()) for i in range(700)] + [(900 + i, 1.0, 0.5, 0.5) for i in range(3)]
+    pts += [(1000 + i, 0.2 + 0.0007 * i, 0.9 + 0.0001 * i, 0.99 - 0.00005 * i) for i in range(300)]  # a long staircase
+    dom = lambda o, p: o[1] <= p[1] and o[2] >= p[2] and o[3] >= p[3] and o[1:] != p[1:]
+    want = {p[0] for p in pts if not any(dom(o, p) for o in pts)}
+    d = spark.createDataFrame([*pts, (5000, None, 1.0, 1.0)], "id int, cost double, gain double, extra double").repartition(5)
+    assert len(want) > 50 and {r["id"] for r in selection.pareto_frontier(d, "cost", "gain", "extra").collect()} == want
+    assert {p[:3] for p in selection.staircase([p[1:] for p in pts])} == {p[1:] for p in pts if p[0] in want}

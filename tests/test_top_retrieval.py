@@ -44,3 +44,12 @@ def test_postings_out_of_reach_are_skipped():
     assert top_retrieval.essential([5.0, 3.0, 0.5, 0.4], 8.0) == 1
     assert top_retrieval.essential([5.0, 3.0, 0.5, 0.4], 9.0) == 0  # the batch is passed over
     assert top_retrieval.essential([], 1.0) == 0
+
+
+def test_any_number_of_short_wordings(spark):
+    docs = spark.createDataFrame([(1, "One  two THREE four five six seven eight"), (2, "two three"), (3, None), (4, "")], DOCS)
+    words = ["one", "two three", "hree f", "nine", "eight", "one two three four five six seven", "two three four five six seven eight"]
+    wordings = spark.createDataFrame(list(enumerate(words)), "wording_id bigint, wording string")
+    want = {(1, 0), (1, 1), (1, 2), (1, 4), (1, 5), (1, 6), (2, 1)}
+    for block in (1, 2, 1000):
+        assert {tuple(r) for r in retrieval.contains_wording(docs, wordings, short_block=block).collect()} == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,11 +106,11 @@ def gold(evidence: DataFrame) -> DataFrame:
     return c.groupBy("query_id").agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("gold_label"))
 
 
-def contains_wording(docs: DataFrame, wordings: DataFrame, anchor: int = 5, short_limit: int = 1000) -> DataFrame:
+def contains_wording(docs: DataFrame, wordings: DataFrame, anchor: int = 5, short_block: int = 1000) -> DataFrame:
     """(doc_id, wording_id) where the normalized document contains the normalized wording.
 
     Long wordings meet documents on a run of inner words (which must occur whole) and are
-    then verified; short ones are few, counted, and compared directly.
+    then verified; short ones are compared directly, ``short_block`` of them at a time, however many there are.
     """
     from veriframe.functions.text import normalize
 
@@ -120,10 +122,9 @@ def contains_wording(docs: DataFrame, wordings: DataFrame, anchor: int = 5, shor
     keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - anchor + 1), lambda i: F.xxhash64(F.array_join(F.slice(F.col("words"), i, anchor), " "))))
     near = runs.select("doc_id", F.explode(keys).alias("key")).join(long.select("key", "wording_id"), "key").select("doc_id", "wording_id").distinct()
     hit = near.join(d, "doc_id").join(long.select("wording_id", "needle"), "wording_id").filter(F.contains(F.col("body"), F.col("needle"))).select("doc_id", "wording_id")
-    short = w.filter(F.size("words") < anchor + 2).limit(short_limit + 1).collect()
-    if len(short) > short_limit:
-        raise ValueError("too many short wordings for a direct comparison")
-    if not short:
-        return hit
-    tests = F.array_compact(F.array(*[F.when(F.contains(F.col("body"), F.lit(r["needle"])), F.lit(r["wording_id"])) for r in short]))
-    return hit.unionByName(d.select("doc_id", F.explode(tests).alias("wording_id")))
+    # Wordings without a long inner run meet all documents, a block of them at a time.
+    short = w.filter(F.size("words") < anchor + 2).select("wording_id", "needle").toLocalIterator()
+    while block := list(islice(short, short_block)):
+        tests = F.array_compact(F.array(*[F.when(F.contains(F.col("body"), F.lit(r["needle"])), F.lit(r["wording_id"])) for r in block]))
+        hit = hit.unionByName(d.select("doc_id", F.explode(tests).alias("wording_id")))
+    return hit

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veriframe.functions.hashing import stable_key
 from veriframe.operators.ranking import hash_rank, value_rank
+from veriframe.session import cut
 
 
 def balanced_folds(df: DataFrame, group: list[str], key: Column, namespace: str, folds: int = 3, cap: int | None = None) -> DataFrame:
@@ -69,37 +75,65 @@ def subsamples(df: DataFrame, key: Column, sizes: list[tuple[int, int]], seed: s
     return x.withColumn("size", F.col("w.size")).drop("w", "rn", "n")
 
 
+def staircase(rows: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
+    """Undominated (cost, gain, extra) of one range of costs: by rising cost, against the maxima of gain and extra so far."""
+    gains: list[float] = []  # rising, their extras falling
+    extras: list[float] = []
+    kept = []
+    for c, g, x in sorted(set(rows), key=lambda r: (r[0], -r[1], -r[2])):
+        at = bisect_left(gains, g)
+        if at < len(gains) and extras[at] >= x:
+            continue
+        kept.append((c, g, x))
+        end = at + 1 if at < len(gains) and gains[at] == g else at
+        start = at
+        while start > 0 and extras[start - 1] <= x:
+            start -= 1
+        gains[start:end], extras[start:end] = [g], [x]
+    return kept
+
+
+def beaten_by_cheaper(points: DataFrame, level: int) -> DataFrame:
+    """Points without those that a point of the lower half of their pair of range groups beats.
+
+    Groups of 2^level ranges are paired; costs of the lower group are at most those of the upper one, so it is enough
+    that gain and extra aren't less. The greatest extra at or above a gain is a running maximum over ranges of (pair, gain)."""
+    half = 1 << level
+    marked = points.withColumn("_pair", F.shiftright("_r", level + 1)).withColumn("_low", F.col("_r").bitwiseAND(half) == 0)
+    ranged = cut(marked.repartitionByRange(F.col("_pair"), F.col("g").desc()).withColumn("_part", F.spark_partition_id()))
+    given = F.max(F.when(F.col("_low"), F.col("x")))
+    own = given.over(W.partitionBy("_pair", "_part").orderBy(F.col("g").desc()).rangeBetween(W.unboundedPreceding, W.currentRow))
+    totals = ranged.groupBy("_pair", "_part").agg(given.alias("_most"))  # a row a range and pair
+    before = totals.select("_pair", "_part", F.max("_most").over(W.partitionBy("_pair").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    reached = ranged.withColumn("_own", own).join(before, ["_pair", "_part"])
+    beaten = ~F.col("_low") & F.coalesce(F.greatest("_own", "_before") >= F.col("x"), F.lit(False))
+    return reached.where(~beaten).select("c", "g", "x", "_r")
+
+
 def pareto_frontier(points: DataFrame, cost: str, gain: str, extra: str) -> DataFrame:
     """Points no other point dominates (cost low, gain high, ``extra`` high; one of them strictly).
 
-    ``extra`` takes few levels.  Points are first reduced to the best gain per (extra,
-    cost); a candidate is then compared only with a running maximum over cheaper
-    costs for each level at or above its own, never with all other points.
+    Distinct triples are dealt by ranges of (cost, falling gain, falling extra), in which no later one dominates an earlier one; each range keeps its own frontier. Ranges are then merged in
+    pairs of doubling groups, so a range meets all cheaper ones after log2(ranges) passes, and no task
+    or broadcast holds more than a range. Any number of levels is taken; points with a null
+    objective are left out. Numbers are compared as doubles.
     """
-    from pyspark.sql import Window as W
-
-    from veriframe.operators.ranking import _edges_of
-
-    best = points.groupBy(F.col(extra).alias("x"), F.col(cost).alias("c")).agg(F.max(gain).alias("g"))
-    levels = [r["x"] for r in points.select(F.col(extra).alias("x")).distinct().orderBy("x").limit(257).collect()]
-    if len(levels) > 256:
-        raise ValueError("the third objective must take at most 256 levels")
-    per_cost = best.groupBy("c").agg(*[F.max(F.when(F.col("x") >= lv, F.col("g"))).alias(f"g{i}") for i, lv in enumerate(levels)])
-    per_cost = per_cost.withColumn("_b", _edges_of(per_cost, F.col("c"), 64))
-    names = [f"g{i}" for i in range(len(levels))]
-    totals = per_cost.groupBy("_b").agg(*[F.max(n).alias(n) for n in names])
-    before = W.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("_b", *[F.max(n).over(before).alias(f"o_{n}") for n in names])
-    inner = W.partitionBy("_b").orderBy("c").rowsBetween(W.unboundedPreceding, -1)
-    run = per_cost.join(offsets, "_b").select(
-        "c", *names, *[F.greatest(F.max(n).over(inner), F.col(f"o_{n}")).alias(f"r_{n}") for n in names])
-    same = F.array(*[F.struct(F.lit(lv).alias("x"), F.col(f"g{i}").alias("at"), F.col(f"r_g{i}").alias("cheaper")) for i, lv in enumerate(levels)])
-    table = run.select("c", F.explode(same).alias("s")).select("c", "s.x", "s.at", "s.cheaper")
-    joined = points.withColumn("c", F.col(cost)).withColumn("x", F.col(extra)).join(table, ["c", "x"])
-    higher = table.select("c", F.col("x").alias("x_next"), F.col("at").alias("at_next"))
-    up = {lv: (levels[i + 1] if i + 1 < len(levels) else None) for i, lv in enumerate(levels)}
-    nxt = F.create_map(*[v for lv, n in up.items() for v in (F.lit(lv), F.lit(n).cast(points.schema[extra].dataType))])
-    joined = joined.withColumn("x_next", nxt[F.col("x")]).join(higher, ["c", "x_next"], "left")
-    g = F.col(gain)
-    dominated = (F.coalesce(F.col("cheaper") >= g, F.lit(False)) | (F.col("at") > g) | F.coalesce(F.col("at_next") >= g, F.lit(False)))
-    return joined.filter(~dominated).select(*points.columns)
+    triple = [F.col(c).cast("double").alias(n) for c, n in ((cost, "c"), (gain, "g"), (extra, "x"))]
+    distinct = points.select(*triple).dropna().distinct()
+    ranged = cut(distinct.repartitionByRange(F.col("c"), F.col("g").desc(), F.col("x").desc()).withColumn("_r", F.spark_partition_id()))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges: dict[int, list] = {}
+        for batch in batches:
+            for c, g, x, r in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                ranges.setdefault(r, []).append((c, g, x))
+        for r, rows in ranges.items():
+            c, g, x = zip(*staircase(rows), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(g), pa.array(x), pa.array([r] * len(c), pa.int32())], ["c", "g", "x", "_r"])
+
+    kept = cut(ranged.mapInArrow(local, "c double, g double, x double, _r int"))
+    last = kept.agg(F.max("_r")).first()[0] or 0
+    for level in range(int(last).bit_length()):
+        kept = cut(beaten_by_cheaper(kept, level))
+    same = (F.col(cost).cast("double") == F.col("_c")) & (F.col(gain).cast("double") == F.col("_g")) & (F.col(extra).cast("double") == F.col("_x"))
+    return points.join(kept.select(F.col("c").alias("_c"), F.col("g").alias("_g"), F.col("x").alias("_x")), same, "left_semi")

@@ -498,6 +498,16 @@ def t10(t):
     return selection.pareto_frontier(p, "cost", "gain", "claims")
 
 
+@query("t10_continuous_frontier", """WITH p AS (SELECT l_partkey AS id, round(avg(l_extendedprice),2) AS cost, round(avg(l_discount),6) AS gain, round(avg(l_quantity*(1-l_tax)),6) AS extra FROM lineitem GROUP BY 1)
+ SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.cost<=a.cost AND b.gain>=a.gain AND b.extra>=a.extra AND (b.cost<a.cost OR b.gain>a.gain OR b.extra>a.extra))""")
+def t10_continuous(t):
+    """Parts by mean price, discount and net quantity: three objectives with as many levels as parts."""
+    means = {"cost": (F.col("l_extendedprice"), 2), "gain": (F.col("l_discount"), 6), "extra": (F.col("l_quantity") * (1 - F.col("l_tax")), 6)}
+    p = t.lineitem.groupBy(F.col("l_partkey").alias("id")).agg(*[F.round(F.avg(c), d).alias(n) for n, (c, d) in means.items()])
+    return selection.pareto_frontier(p, "cost", "gain", "extra")
+
+
+
 @query("s05_pruned_even_thinning", "WITH d AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)-1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), p AS (SELECT DISTINCT event_type, floor(round(k*(n-1)/199.0,9))::BIGINT AS pos FROM (SELECT DISTINCT event_type, n FROM d), range(200) r(k)) SELECT event_id FROM d WHERE n<=200 OR (event_type, i) IN (SELECT event_type, pos FROM p)")
 def s05(t):
     d = t.events.select("event_id", "event_type", micros().alias("us"))

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from veriframe.operators.gates import clip01
 from veriframe.plans.registry import query
-from veriframe.session import checkpoint_dir
+from veriframe.session import scratch_folder
 from veriframe.sources import files, sinks, specs
 
 
 def _place(t, name: str) -> str:
     """A fresh folder in the shared one; never a machine-local path on a cluster."""
-    return f"{checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(t.spark, name)
 
 
 @query("s01_json_lines", "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal FROM customer")

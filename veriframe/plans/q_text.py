@@ -300,8 +300,8 @@ def c11(t):
         F.count_if(F.col("has_gold") & ~F.col("retrieved")).alias("retrieval_misses"))
 
 
-def support_model(rows):
-    """Support classifier on standardized features: fitted on the training queries, scored on the others."""
+def support_scores(rows):
+    """Support classifier on standardized features, fitted on the training queries; scores of all, told apart by ``train``."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -313,13 +313,13 @@ def support_model(rows):
     train = F.pmod(F.xxhash64("query_id"), F.lit(2)) == 0
     data = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(data.filter(train)).transform(data)
     model = LogisticRegression(regParam=0.1, standardization=False, maxIter=200).fit(data.filter(train))
-    scored = model.transform(data.filter(~train)).withColumn("p", vector_to_array("probability")[1])
-    return scored.select("query_id", "gold_label", "gold_support", "p")
+    scored = model.transform(data).withColumn("p", vector_to_array("probability")[1])
+    return scored.select("query_id", "gold_label", "gold_support", "p", train.alias("train"))
 
 
 @query("m17_support_classifier")
 def m17(t):
-    return support_model(audit_rows(t)).select("query_id", "gold_support", F.round("p", 4).alias("probability"))
+    return support_scores(audit_rows(t)).filter("NOT train").select("query_id", "gold_support", F.round("p", 4).alias("probability"))
 
 
 def operating_point(scored, max_fpr=0.10):
@@ -329,7 +329,7 @@ def operating_point(scored, max_fpr=0.10):
     one = F.lit(1).cast("bigint")
     y = F.col("positive")
     c = cumulative(scored, [], "p", {"tp": F.sum(F.when(y, one).otherwise(0)), "fp": F.sum(F.when(~y, one).otherwise(0))}, descending=True)
-    ok = c.withColumn("tpr", F.col("cum_tp") / F.col("all_tp")).withColumn("fpr", F.coalesce(F.try_divide(F.col("cum_fp"), F.col("all_fp")), F.lit(0.0))).filter(F.col("fpr") <= max_fpr)
+    ok = c.withColumn("tpr", F.coalesce(F.try_divide(F.col("cum_tp"), F.col("all_tp")), F.lit(0.0))).withColumn("fpr", F.coalesce(F.try_divide(F.col("cum_fp"), F.col("all_fp")), F.lit(0.0))).filter(F.col("fpr") <= max_fpr)
     return ok.agg(F.max_by(F.struct("p", "tpr", "fpr"), F.struct("tpr", -F.col("p"))).alias("b")).select(F.coalesce("b.p", F.lit(1.0)).alias("threshold"), "b.tpr", "b.fpr")
 
 
@@ -340,6 +340,18 @@ def t09(t):
     return operating_point(s).select("threshold", F.round("tpr", 9).alias("tpr"), F.round("fpr", 9).alias("fpr"))
 
 
+@query("m17_operating_point")
+def m17_point(t):
+    """The threshold is chosen on the training queries' scores under the false-positive limit and judged on the others."""
+    scores = stored(support_scores(audit_rows(t)))
+    chosen = operating_point(scores.filter("train").select("p", F.col("gold_support").alias("positive")))
+    chosen = chosen.select("threshold", F.col("tpr").alias("train_tpr"), F.col("fpr").alias("train_fpr"), F.lit(1).alias("_one"))
+    held = scores.filter("NOT train").withColumn("_one", F.lit(1)).join(F.broadcast(chosen), "_one")
+    hit, y = F.col("p") >= F.col("threshold"), F.col("gold_support")
+    rate = lambda c, base: F.round(F.coalesce(F.try_divide(F.count_if(c & base), F.count_if(base)), F.lit(0.0)), 6)
+    return held.groupBy("threshold", "train_tpr", "train_fpr").agg(F.count("*").alias("claims"), rate(hit, y).alias("tpr"), rate(hit, ~y).alias("fpr"))
+
+
 @query("c13_annotation_package", f"""{_C01}, s AS (SELECT doc_id, rank, claim_type, sha256('annotation:'||doc_id||'-'||rank) AS h, row_number() OVER (PARTITION BY claim_type ORDER BY sha256('annotation:'||doc_id||'-'||rank)) AS k FROM cand),
  z AS (SELECT *, row_number() OVER (ORDER BY h) AS r FROM s WHERE k<=20) SELECT printf('ITEM-%03d', r) AS item_id, doc_id, rank, claim_type, '' AS annotator_label FROM z WHERE r<=60""")
 def c13(t):

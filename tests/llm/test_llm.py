@@ -76,6 +76,20 @@ def test_bpe_equals_the_library(spark, docs, rows, odd, empty, library):
     assert bpe.encode_documents(empty).collect() == []
 
 
+def test_bpe_blocks_forgetting_and_decoding(library, rows, monkeypatch):
+    """Small blocks and a memory that is cleared all the time change no id; any ids are decoded."""
+    texts = [t for _, t in rows[:80]] + [None, "", "word " * 50]
+    monkeypatch.setattr(bpe, "BLOCK", 3_000)
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    coder = bpe.Encoder(vocabulary_path())
+    blocks = list(bpe.text_blocks(texts))
+    assert [t for b in blocks for t in b] == texts and len(blocks) > 5
+    assert all(len(b) == 1 or sum(len(t or "") for t in b) <= 3_000 for b in blocks)
+    assert [i for b in blocks for i in coder.encode_all(b)] == [ids_of(library, t).astype("<u4").tobytes() for t in texts]
+    ids = np.random.default_rng(3).integers(0, library.get_vocab_size(), 5_000).tolist()
+    assert coder.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
 def test_bpe_goes_back_to_a_lower_rank():
     coder = bpe.Encoder(vocabulary_path())
     words = ["".join(w) for w in np.random.default_rng(1).choice(list("abetinhrs"), (400, 9))]
@@ -458,6 +472,28 @@ def test_pages(spark, empty):
     assert pages.extract(spark.createDataFrame([], schema)).collect() == []
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<p title=it's>Hello world, don't go</p>", "Hello world, don't go"),
+    ("<p title=it's>Hello world</p>", "Hello world"),
+    ("<article><a title=\"x>y\" rel = 'a>b'>link</a> on</article>", "link on"),
+    ("<article><p>one</p><div class='post-comments'>no</div><p>two</p></article>", "one two"),
+    ("<article><p>one</p><section id=article-comments>no</section><div class='content-ad'>no</div></article>", "one"),
+    ("<article><div class='content has-sidebar'>one</div><div class='entry no-comments'>two</div></article>", "one two"),
+    ("<article>half <math><mi>x</mi></math> of it<noscript>told without scripts</noscript></article>", "half x of it told without scripts"),
+    ("<article>one <svg width=1/> two <svg><text>no</text></svg></article>", "one two"),
+])
+def test_parts_of_a_page(html, text):
+    tokens, zones = pages.laid_out(html)
+    assert " ".join(t for t, z in zip(tokens, zones.tolist(), strict=True) if z != pages.OUT) == text
+
+
+def test_a_very_long_page(spark):
+    words = [f"w{k}" for k in range(300_000)]
+    html = "<nav>menu</nav><article>" + "".join(f"<p>{w}</p>" for w in words[:150_000]) + "<p>" + " ".join(words[150_000:]) + "</p></article>"
+    row = pages.extract(spark.createDataFrame([(1, None, html)], "page_id long, url string, html string")).first()
+    assert row["text"] == " ".join(words)
+
+
 def test_copies_of_pages_keep_their_text(spark):
     menu, text = "home about contact prices offers staff news archive", "one two three four five six seven eight nine"
     page = "<div><p>{}</p><p>{}</p></div>"

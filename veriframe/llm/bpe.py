@@ -1,13 +1,14 @@
 """Byte-pair encoding with a pair occurrence index, and decoding.
 
-A worker gathers the words it has not met yet. Their symbols stand in one list; an index
+A worker gathers the words it has not met yet from a block of texts (``BLOCK`` characters of a
+partition, or one longer text). Their symbols stand in one list; an index
 maps each pair's rank to all its positions. Active ranks are applied in ascending order:
 the positions of the lowest rank are merged from left to right and the lists of the pairs
 at their sides are updated. When a merge makes a pair of lower rank, the rest of the list goes
 back to the index and that rank comes first, as the merge order of a word demands.
 
 Normalization and the split into words follow the vocabulary file; merges and decoding are
-done here. Decoding joins the token strings by a blank,
+done here. Decoding starts from the ids alone: it joins their token strings by a blank,
 as the library does for a vocabulary without a decoder.
 
 Defined results: null text is the empty text (no ids, empty decoded text). Repeated rows
@@ -17,7 +18,8 @@ are encoded alike; other columns are kept out of the result; empty tables give n
 from __future__ import annotations
 
 import hashlib
-import struct
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -29,11 +31,12 @@ from pyspark.sql import functions as F
 from veriframe.llm.tokens import Splitter, chunks_of, vocabulary_path
 
 REMEMBERED = 600_000
+BLOCK = 4_000_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class Encoder:
-    """Ids and decoded text of words; words are independent of each other."""
+    """Ids of words, which are independent of each other, and the text of ids."""
 
     def __init__(self, path: str):
         self.splitter = Splitter(path)
@@ -44,8 +47,8 @@ class Encoder:
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(model["merges"]):
             self.ranks[self.vocabulary[a], self.vocabulary[b]] = (rank, self.vocabulary[a + b])
-        self.known: dict[str, tuple[bytes, int, bytes]] = {}
-        self.pieces: dict[str, tuple[bytes, int, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str | int, bytes] = {}
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, all words at once."""
@@ -133,9 +136,6 @@ class Encoder:
             out.append(ids)
         return out
 
-    def _result(self, ids: list[int]) -> tuple[bytes, int, bytes]:
-        return struct.pack(f"<{len(ids)}I", *ids), len(ids), " ".join([self.names[i] for i in ids]).encode()
-
     def learn(self, chunks: list[str]) -> None:
         for memory in (self.known, self.pieces):
             if len(memory) > REMEMBERED:
@@ -145,32 +145,38 @@ class Encoder:
         new = list(dict.fromkeys(w for words in split for w in words if w not in pieces))
         merged = [w for w in new if not isinstance(w, int)]
         spelled = [self.splitter.spelled(w) for w in merged]
-        pieces.update(zip(merged, map(self._result, self.merge(spelled)), strict=True))
-        pieces.update((w, self._result([w])) for w in new if isinstance(w, int))
+        pieces.update((w, array("I", ids).tobytes()) for w, ids in zip(merged, self.merge(spelled), strict=True))
+        pieces.update((w, array("I", [w]).tobytes()) for w in new if isinstance(w, int))
         for chunk, words in zip(chunks, split, strict=True):
-            if len(words) == 1:
-                self.known[chunk] = pieces[words[0]]
-            else:
-                own = [pieces[w] for w in words]
-                self.known[chunk] = (b"".join([o[0] for o in own]), sum([o[1] for o in own]), b" ".join([o[2] for o in own]))
-
-    def encode(self, text: str | None) -> tuple[bytes, int, bytes]:
-        """Ids as bytes, their count, and the decoded text in UTF-8."""
-        if not text:
-            return b"", 0, b""
-        chunks = chunks_of(text)
-        get = self.known.get
-        found = list(map(get, chunks))
-        if None in found:
-            self.learn(list(dict.fromkeys(c for c, f in zip(chunks, found, strict=True) if f is None)))
-            found = list(map(get, chunks))
-            if None in found:  # the memory was cleared on the way
-                self.learn(list(dict.fromkeys(chunks)))
-                found = list(map(self.known.__getitem__, chunks))
-        return b"".join([f[0] for f in found]), sum([f[1] for f in found]), b" ".join([f[2] for f in found if f[1]])
-
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(self.names[i] for i in ids)
+            self.known[chunk] = pieces[words[0]] if len(words) == 1 else b"".join([pieces[w] for w in words])
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as native unsigned 32-bit integers; the new words of all texts are merged at once."""
+        chunks = [chunks_of(text) if text else [] for text in texts]
+        known = self.known
+        new = list(dict.fromkeys(c for own in chunks for c in own if c not in known))
+        if new:
+            if len(known) > REMEMBERED:  # the memory is cleared, so all of the block is learnt
+                new = list(dict.fromkeys(c for own in chunks for c in own))
+            self.learn(new)
+        return [b"".join(map(known.__getitem__, own)) for own in chunks]
+
+    def decode(self, ids: array) -> str:
+        return " ".join(map(self.names.__getitem__, ids))
+
+
+def text_blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of about ``BLOCK`` characters, or one longer text."""
+    block: list[str | None] = []
+    held = 0
+    for text in texts:
+        if block and held + len(text or "") > BLOCK:
+            yield block
+            block, held = [], 0
+        block.append(text)
+        held += len(text or "")
+    if block:
+        yield block
 
 
 @lru_cache(maxsize=2)
@@ -186,11 +192,16 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         coder = encoder(path)
         for batch in batches:
             counts, ids_digest, text_digest = [], [], []
-            for text in batch.column(1):
-                ids, n, decoded = coder.encode(text.as_py())
-                counts.append(n)
-                ids_digest.append(hashlib.sha256(ids).hexdigest())
-                text_digest.append(hashlib.sha256(decoded).hexdigest())
+            for texts in text_blocks(batch.column(1).to_pylist()):
+                for packed in coder.encode_all(texts):
+                    ids = array("I", packed)
+                    if sys.byteorder == "big":
+                        ids.byteswap()
+                        packed = ids.tobytes()
+                        ids.byteswap()
+                    counts.append(len(ids))
+                    ids_digest.append(hashlib.sha256(packed).hexdigest())
+                    text_digest.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -163,6 +163,44 @@ def test_grouped_logistic_reaches_the_stationary_point(spark):
         assert abs((p - y).sum()) < 1e-6 and abs(((p - y) * z).sum() + r["coef"][1]) < 1e-6
 
 
+def test_order_is_cut_by_ties_and_needs_no_early_job(spark, monkeypatch):
+    """A value that a third of the rows hold is spread over buckets; ranks and quantiles equal sorting."""
+    import numpy as np
+
+    from veriframe.operators import ranking
+
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 100)
+    monkeypatch.setattr(ranking, "COARSE", 4)
+    rng = np.random.default_rng(1)
+    n = 6_000
+    v = np.where(rng.random(n) < 0.35, 5.0, np.round(rng.normal(size=n), 2))
+    rows = [(None if k % 50 == 0 else int(g), k, None if k % 97 == 0 else float(x), int(w)) for k, (g, x, w) in enumerate(zip(rng.integers(0, 2, n), v, rng.integers(0, 4, n), strict=True))]
+    df = spark.createDataFrame(rows, "g long, id long, v double, w long")
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "no job may run")
+    try:
+        built = [ranking.value_rank(df, ["g"], F.col("v"), [F.col("id")], descending=d) for d in (False, True)]
+        quantiles = ranking.exact_quantiles(df, ["g"], "v", [0.0, 0.1, 0.5, 0.95, 1.0])
+        weighted = ranking.exact_quantiles(df, [], "v", [0.5], "w")
+        assert not status.getJobIdsForGroup("plans")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for d, got in zip((False, True), built, strict=True):
+        for g in (None, 0, 1):
+            own = [r for r in rows if r[0] == g]
+            want = sorted(own, key=lambda r: ((r[2] is None) == d, 0 if r[2] is None else -r[2] if d else r[2], r[1]))
+            assert [r["id"] for r in got.where(F.col("g").eqNullSafe(F.lit(g))).orderBy("rn").collect()] == [r[1] for r in want]
+    for r in quantiles.collect():
+        own = [x for g, _, x, _ in rows if g == r["g"] and x is not None]
+        assert r["n"] == len(own) and np.allclose(r["q"], np.quantile(own, [0.0, 0.1, 0.5, 0.95, 1.0]))
+    assert weighted.first()["q"] == [np.median([x for _, _, x, w in rows if x is not None for _ in range(w)])]
+    key = ranking._order_key(F.col("v"), [F.col("id")])
+    sizes = [r["n"] for r in ranking._bucket(df, key, [F.col("g"), F.col("v"), F.col("id")]).groupBy("_b").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 40 and max(sizes) < 600
+    none = df.limit(0)
+    assert ranking.exact_quantiles(none, [], "v", [0.5]).collect() == [] and none.select(ranking.median_of(none, "v")).collect() == []
+
+
 def test_null_groups_and_text_keys_stay(spark):
     from veriframe.operators import inference, ranking
 

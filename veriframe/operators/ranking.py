@@ -1,7 +1,7 @@
 """Ranks, running sums and neighbours without putting one group into one task.
 
 A window over a hot group would sort that group in a single task.  Here each
-group is cut into buckets (hash prefix or value range), ranked inside the bucket
+group is cut into buckets (hash prefix or range of the order), ranked inside the bucket
 and shifted by the sizes of the earlier buckets; only bucket totals meet per group.
 """
 
@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.hashing import stable_key
 
-_BUCKETS = 64
+#: Keys in a bucket of an order, most buckets, keys drawn for each edge, and edges that one coarse edge stands for.
+BUCKET_ROWS = 100_000
+MAX_BUCKETS = 4096
+DRAWS = 16
+COARSE = 64
 
 
 def group_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -25,11 +29,10 @@ def group_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _shift(df: DataFrame, group: list[str], totals: dict[str, Column], descending: bool = False) -> DataFrame:
+def _shift(df: DataFrame, group: list[str], totals: dict[str, Column]) -> DataFrame:
     """Exclusive running totals over buckets per group, joined back on (group, bucket)."""
     per = df.groupBy(*group, "_b").agg(*[c.alias(f"_t_{n}") for n, c in totals.items()])
-    order = F.col("_b").desc() if descending else F.col("_b").asc()
-    w = W.partitionBy(*group).orderBy(order) if group else W.partitionBy(F.lit(0)).orderBy(order)
+    w = W.partitionBy(*group).orderBy("_b") if group else W.partitionBy(F.lit(0)).orderBy("_b")
     before = per.select(
         *group, "_b",
         *[F.coalesce(F.sum(f"_t_{n}").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"_o_{n}") for n in totals],
@@ -46,34 +49,56 @@ def hash_rank(df: DataFrame, group: list[str], key: Column, namespace: str | Col
     return d.withColumn("rn", (rn + F.col("_o_n")).cast("bigint")).withColumn("n", F.col("_g_n")).drop("_h", "_b", "_k", "_o_n", "_g_n")
 
 
-def _edges_of(df: DataFrame, value: Column, buckets: int) -> Column:
-    """Bucket number from approximate quantiles: ``buckets`` numbers travel to the driver, nothing else."""
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.select(F.percentile_approx(value.cast("double"), probs, 2000).alias("q")).first()
-    cuts = sorted(set(row.q or []))
-    lits = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
-    return F.size(F.filter(lits, lambda e: e < value.cast("double")))
+def _order_key(value: Column, ties: list[Column], descending: bool = False) -> Column:
+    """What a row is ordered by, as a struct that compares field by field: nulls first, or last when descending."""
+    own = [value.isNull(), ~F.isnan(value.cast("double")), F.negative(value)] if descending else [value]
+    return F.struct(*[c.alias(f"f{i}") for i, c in enumerate([*own, *ties])])
+
 
+def _bucket(df: DataFrame, key: Column, draw: list[Column]) -> DataFrame:
+    """Adds ``_b``: how many edges lie before the row's order key.
 
-def value_rank(df: DataFrame, group: list[str], value: Column, ties: list[Column], buckets: int = _BUCKETS, descending: bool = False) -> DataFrame:
+    There is a bucket for every ``BUCKET_ROWS`` distinct keys, up to ``MAX_BUCKETS``. The edges are quantiles of
+    the keys with a small hash of ``draw``, ``DRAWS`` a bucket. Both numbers come from scalar
+    subqueries, so nothing runs while the plan is built, and both are the same wherever the plan
+    repeats them. A value that many rows hold is cut by its ties. Edges decide only how even the
+    buckets are, never a result.
+    """
+    hashed = F.xxhash64(*draw)
+    size = df.agg(F.approx_count_distinct(hashed).alias("_n")).select(
+        F.col("_n"), F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("_n") / BUCKET_ROWS)).cast("int").alias("_k"))
+    size = size.select(F.struct("_k", F.when(F.col("_k") > 1, DRAWS * F.col("_k") / F.col("_n")).otherwise(0.0).alias("_share"))).scalar()
+    drawn = df.select(key.alias("_key"), hashed.alias("_u")).withColumn("_size", size)
+    drawn = drawn.where((F.col("_u") / 2.0**64 + 0.5) < F.col("_size._share")).select("_key", F.col("_size._k").alias("_k")).distinct()
+    keys = drawn.agg(F.array_sort(F.collect_list("_key")).alias("_s"), F.coalesce(F.max("_k"), F.lit(1)).alias("_k"))
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_k") - 1, F.lit(1))), lambda i: F.get("_s", F.floor(F.size("_s") * i / F.col("_k")).cast("int")))
+    edges = keys.select(F.when((F.col("_k") > 1) & (F.size("_s") > 0), F.array_distinct(at)).otherwise(F.slice("_s", 1, 0)).alias("_e"))
+    step = F.filter("_e", lambda e, i: (i + 1) % COARSE == 0)
+    d = df.withColumn("_edges", edges.select(F.struct("_e", step.alias("_c"))).scalar())
+    passed = F.size(F.filter("_edges._c", lambda e: e < key)) * COARSE
+    rest = F.slice("_edges._e", passed + 1, COARSE)
+    return d.withColumn("_b", passed + F.size(F.filter(rest, lambda e: e < key))).drop("_edges")
+
+
+def value_rank(df: DataFrame, group: list[str], value: Column, ties: list[Column], descending: bool = False) -> DataFrame:
     """Adds ``rn`` and ``n`` for the order (value, ties) in each group."""
     d = df.withColumn("_v", value)
-    d = d.withColumn("_b", F.coalesce(_edges_of(d, F.col("_v"), buckets), F.lit(-1)))
-    d = _shift(d, group, {"n": F.count("*")}, descending)
+    d = _bucket(d, _order_key(F.col("_v"), ties, descending), [*map(F.col, group), F.col("_v"), *ties])
+    d = _shift(d, group, {"n": F.count("*")})
     first = F.col("_v").desc() if descending else F.col("_v").asc()
     rn = F.row_number().over(W.partitionBy(*group, "_b").orderBy(first, *ties))
     return d.withColumn("rn", (rn + F.col("_o_n")).cast("bigint")).withColumn("n", F.col("_g_n")).drop("_v", "_b", "_o_n", "_g_n")
 
 
-def cumulative(df: DataFrame, group: list[str], value: str, sums: dict[str, Column], descending: bool = False, buckets: int = _BUCKETS) -> DataFrame:
+def cumulative(df: DataFrame, group: list[str], value: str, sums: dict[str, Column], descending: bool = False) -> DataFrame:
     """Distinct values per group with ``name`` (own sum), ``cum_name`` (running) and ``all_name`` (total).
 
     Equal values are merged before anything is ordered, so a value held by a third
     of all rows is one row here.
     """
     per = df.groupBy(*group, value).agg(*[c.alias(n) for n, c in sums.items()])
-    per = per.withColumn("_b", F.coalesce(_edges_of(df, F.col(value), buckets), F.lit(-1)))
-    d = _shift(per, group, {n: F.sum(n) for n in sums}, descending)
+    per = _bucket(per, _order_key(F.col(value), [], descending), [*map(F.col, group), F.col(value)])
+    d = _shift(per, group, {n: F.sum(n) for n in sums})
     order = F.col(value).desc() if descending else F.col(value).asc()
     w = W.partitionBy(*group, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     out = d.select(
@@ -84,15 +109,56 @@ def cumulative(df: DataFrame, group: list[str], value: str, sums: dict[str, Colu
     return out
 
 
+def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[float], weight: str | None = None) -> DataFrame:
+    """Per group ``q``: the interpolated quantiles of the values that aren't null, ``n``: their number.
+
+    Running counts over distinct values take the place of an aggregate that holds all distinct
+    values of a group in one buffer: a group of any size is spread over buckets, and only the
+    values at the wanted positions are kept. ``weight``: a column of whole numbers, how often a row counts.
+    Groups without a value have no row.
+    """
+    times = F.count("*") if weight is None else F.sum(F.col(weight).cast("bigint"))
+    rows = df.filter(F.col(value).isNotNull() if weight is None else F.col(value).isNotNull() & (F.col(weight) > 0))
+    c = cumulative(rows.select(*group, value, *([weight] if weight else [])), group, value, {"_c": times})
+    v = F.col(value).cast("double")
+    before = F.col("cum__c") - F.col("_c")
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((before <= position) & (position < F.col("cum__c")), v))
+
+    ends = []
+    for i, p in enumerate(probs):
+        place = (F.col("all__c") - 1) * F.lit(float(p))
+        ends += [at(F.floor(place)).alias(f"_l{i}"), at(F.ceil(place)).alias(f"_h{i}")]
+    found = c.groupBy(*group).agg(F.max("all__c").alias("n"), *ends).filter("n is not null")
+
+    def between(i: int, p: float) -> Column:
+        place = (F.col("n") - 1) * F.lit(float(p))
+        part = place - F.floor(place)
+        return F.when(part == 0, F.col(f"_l{i}")).otherwise(F.col(f"_l{i}") * (1 - part) + F.col(f"_h{i}") * part)
+
+    return found.select(*group, F.array(*[between(i, p) for i, p in enumerate(probs)]).alias("q"), "n")
+
+
+def exact_median(df: DataFrame, group: list[str], value: str, name: str, weight: str | None = None) -> DataFrame:
+    """``group.., name``: the median of each group."""
+    return exact_quantiles(df, group, value, [0.5], weight).select(*group, F.col("q")[0].alias(name))
+
+
+def median_of(df: DataFrame, value: str) -> Column:
+    """The median of a whole column as a scalar subquery; null when there is none."""
+    return exact_median(df, [], value, "m").scalar()
+
+
 def average_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Distinct values with their tie-averaged rank."""
     c = cumulative(df, group, value, {"cnt": F.count("*")})
     return c.select(*group, value, (F.col("cum_cnt") - (F.col("cnt") - 1) / 2.0).alias("avg_rank"), "cnt", F.col("all_cnt").alias("n"))
 
 
-def suffix_min(df: DataFrame, group: list[str], order: str, value: str, buckets: int = _BUCKETS) -> DataFrame:
+def suffix_min(df: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
     """Adds ``sfx``: the smallest ``value`` at this or any later position of ``order``."""
-    d = df.withColumn("_b", F.coalesce(_edges_of(df, F.col(order), buckets), F.lit(-1)))
+    d = _bucket(df, _order_key(F.col(order), []), [*map(F.col, group), F.col(order)])
     per = d.groupBy(*group, "_b").agg(F.min(value).alias("_t"))
     w = W.partitionBy(*group).orderBy("_b") if group else W.partitionBy(F.lit(0)).orderBy("_b")
     later = per.select(*group, "_b", F.min("_t").over(w.rowsBetween(1, W.unboundedFollowing)).alias("_later"))

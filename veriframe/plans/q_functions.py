@@ -355,7 +355,7 @@ def repeat_reliability(trials):
 def w06(t):
     tr = t.lineitem.select(F.col("l_linenumber").alias("neuron"), F.col("l_suppkey").alias("stimulus"), F.concat_ws("-", "l_orderkey", "l_partkey").alias("trial"), F.col("l_quantity").alias("y"))
     r = repeat_reliability(tr)
-    return r.agg(r9(F.median("r")).alias("median_reliability"), F.count("*").alias("neurons"))
+    return r.agg(F.count("*").alias("neurons")).withColumn("median_reliability", r9(ranking.median_of(r, "r")))
 
 
 @query("w07_strided_cohort", "WITH d AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders), c AS (SELECT o_orderkey, row_number() OVER (ORDER BY i) - 1 AS j, count(*) OVER () AS n FROM d WHERE i%5=2), p AS (SELECT DISTINCT floor(round(k*(n-1)/999.0,9))::BIGINT AS pos FROM (SELECT max(n) AS n FROM c), range(1000) r(k)) SELECT o_orderkey FROM c WHERE n<=1000 OR j IN (SELECT pos FROM p)")
@@ -392,8 +392,8 @@ def w10(t):
 
 def reference_bins(values, column, reference, ref_column, q):
     """Right-closed bins from the quantiles of a reference; outer edges are open."""
-    probs = F.array(*[F.lit(i / q) for i in range(1, q)])
-    edges = reference.agg(F.array_distinct(F.percentile(ref_column, probs)).alias("e"), F.min(ref_column).alias("lo"), F.max(ref_column).alias("hi"))
+    cuts = ranking.exact_quantiles(reference, [], ref_column, [i / q for i in range(1, q)]).select(F.array_distinct("q"))
+    edges = reference.agg(F.min(ref_column).alias("lo"), F.max(ref_column).alias("hi")).withColumn("e", cuts.scalar())
     edges = edges.select(F.filter("e", lambda x: (x > F.col("lo")) & (x < F.col("hi"))).alias("edges"), (F.col("lo") < F.col("hi")).alias("ok"))
     one = values.withColumn("_one", F.lit(1)).join(F.broadcast(edges.withColumn("_one", F.lit(1))), "_one")
     return one.withColumn("bin", F.when(F.col("ok"), F.size(F.filter("edges", lambda e: e < F.col(column))).cast("bigint"))).drop("_one", "edges", "ok")

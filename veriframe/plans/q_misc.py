@@ -130,7 +130,7 @@ def u04(t):
 @query("a29_subject_coverage", _CO + ", s AS (SELECT te.user_id, avg((tr.user_id IS NOT NULL)::INT) AS cov, count(*) FILTER (tr.user_id IS NULL) AS un FROM te LEFT JOIN tr ON tr.user_id=te.user_id AND tr.c=te.c AND tr.d=te.d GROUP BY 1) SELECT count(*) AS subjects, round(min(cov),9) AS lo, round(median(cov),9) AS mid, round(avg(cov),9) AS mean, count(*) FILTER (un>0) AS with_test_only FROM s")
 def a29(t):
     s = u04(t)
-    return s.agg(F.count("*").alias("subjects"), r9(F.min("trial_coverage")).alias("lo"), r9(F.median("trial_coverage")).alias("mid"), r9(F.avg("trial_coverage")).alias("mean"), F.count_if(F.col("test_only") > 0).alias("with_test_only"))
+    return s.agg(F.count("*").alias("subjects"), r9(F.min("trial_coverage")).alias("lo"), r9(F.avg("trial_coverage")).alias("mean"), F.count_if(F.col("test_only") > 0).alias("with_test_only")).withColumn("mid", r9(ranking.median_of(s, "trial_coverage")))
 
 
 @query("u08_ordered_dedupe", "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY 1,2 HAVING count(*)>1")
@@ -286,7 +286,9 @@ def a32(t):
 
 @query("a33_cohort_medians", "SELECT o_orderpriority, round(median(o_totalprice),4) AS median_price, count(*) FILTER (o_totalprice>250000) AS above FROM orders GROUP BY 1")
 def a33(t):
-    return t.orders.groupBy("o_orderpriority").agg(F.round(F.median("o_totalprice"), 4).alias("median_price"), F.count_if(F.col("o_totalprice") > 250000).alias("above"))
+    above = t.orders.groupBy("o_orderpriority").agg(F.count_if(F.col("o_totalprice") > 250000).alias("above"))
+    medians = ranking.exact_median(t.orders, ["o_orderpriority"], "o_totalprice", "m")
+    return ranking.group_join(above, medians, ["o_orderpriority"], "left").select("o_orderpriority", F.round("m", 4).alias("median_price"), "above")
 
 
 @query("a36_feature_means", "SELECT l_suppkey, round(avg(l_quantity),6) AS q, round(avg(l_discount),9) AS d, round(avg(l_tax),9) AS x FROM lineitem GROUP BY 1")
@@ -429,7 +431,7 @@ def reliability_rows(t):
 @query("i06_reliability", _REF + ", r AS (SELECT session, coalesce(corr(hz,ref),0) AS real, coalesce(corr(odd_hz,even_hz),0) AS split FROM ref GROUP BY 1) SELECT round(median(real),6) AS median_cross, round(median(split),6) AS median_split, count(*) AS sessions FROM r")
 def i06(t):
     r = reliability_rows(t).groupBy("session").agg(N.safe_corr(F.col("hz"), F.col("ref")).alias("real"), N.safe_corr(F.col("odd_hz"), F.col("even_hz")).alias("split"))
-    return r.agg(r6(F.median("real")).alias("median_cross"), r6(F.median("split")).alias("median_split"), F.count("*").alias("sessions"))
+    return r.agg(F.count("*").alias("sessions")).select(r6(ranking.median_of(r, "real")).alias("median_cross"), r6(ranking.median_of(r, "split")).alias("median_split"), "sessions")
 
 
 @query("i06_permutation_null")

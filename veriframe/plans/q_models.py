@@ -229,7 +229,7 @@ def m14(t):
 @query("m15_median_neuron_correlation", "SELECT round(median(r),9) AS median_r, count(*) AS neurons FROM (SELECT l_suppkey, CASE WHEN stddev_pop(l_quantity)=0 OR stddev_pop(l_extendedprice)=0 THEN 0 ELSE corr(l_quantity,l_extendedprice) END AS r FROM lineitem GROUP BY 1)")
 def m15(t):
     r = t.lineitem.groupBy("l_suppkey").agg(N.safe_corr(F.col("l_quantity"), F.col("l_extendedprice")).alias("r"))
-    return r.agg(r9(F.median("r")).alias("median_r"), F.count("*").alias("neurons"))
+    return r.agg(F.count("*").alias("neurons")).withColumn("median_r", r9(ranking.median_of(r, "r")))
 
 
 MODELS = ("N", "A", "R")
@@ -253,7 +253,9 @@ def j19(t):
     w = model_rows(t).groupBy("mouse").pivot("model", sorted(MODELS)).agg(F.first("corr"))
     pairs = [(a, b) for a in sorted(MODELS) for b in sorted(MODELS) if a < b]
     x = w.select(F.inline(F.array(*[F.struct(F.lit(a).alias("left_model"), F.lit(b).alias("right_model"), (F.col(a) - F.col(b)).alias("d")) for a, b in pairs]))).filter("d is not null")
-    return x.groupBy("left_model", "right_model").agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") == 0).alias("ties"), r9(F.median("d")).alias("median_delta"))
+    by = ["left_model", "right_model"]
+    counts = x.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") == 0).alias("ties"))
+    return counts.join(ranking.exact_median(x, by, "d", "m"), by).withColumn("median_delta", r9("m")).drop("m")
 
 
 @query("j20_artifact_merge", f"WITH {_MR}, x AS (SELECT mouse, 'corr_'||model AS source, corr AS value FROM mr UNION ALL SELECT 'dynamic'||s_suppkey, 'acctbal', s_acctbal FROM supplier) SELECT mouse, count(*) AS sources, round(sum(value),4) AS total FROM x GROUP BY 1")

@@ -307,10 +307,10 @@ def _boot_sql(seed, reps, key, src, n="n"):
 
 @query("i10_cluster_bootstrap", f"WITH {CV}, {_boot_sql('boot', 60, 'mouse', 'cv')}, v AS (SELECT mouse, round(median(value),2) AS m FROM cv GROUP BY 1), e AS (SELECT rep, m FROM bc JOIN v ON v.mouse=bc.k, range(100) c(i) WHERE i<times), q AS (SELECT rep, median(m) AS md FROM e GROUP BY 1) SELECT round(quantile_cont(md,0.025),4) AS low, round(quantile_cont(md,0.975),4) AS high FROM q")
 def i10(t):
-    """Weighted median per replicate through ``percentile`` with frequencies, so drawn clusters are not copied."""
+    """Weighted median per replicate from running counts of how often each was drawn, so drawn clusters are not copied."""
     v = cluster_values(t).groupBy("mouse").agg(F.round(F.median("value"), 2).alias("m"))
     c = I.bootstrap_counts(v, [], "mouse", 60, "boot")
-    md = c.join(v, "mouse").groupBy("rep").agg(F.percentile("m", F.lit(0.5), F.col("times")).alias("md"))
+    md = ranking.exact_median(c.join(v, "mouse"), ["rep"], "m", "md", "times")
     return I.interval(md, [], "md").select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 

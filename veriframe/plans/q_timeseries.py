@@ -337,7 +337,8 @@ def a16(t):
     s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("target"))
     d = t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     w = F.when(F.col("source") == F.col("target"), 0.0).otherwise(F.col("l_quantity") * F.col("l_discount"))
-    return d.groupBy("target", "source").agg(r6(F.median(w)).alias("weight"))
+    m = ranking.exact_median(d.select("target", "source", w.alias("w")), ["target", "source"], "w", "m")
+    return m.select("target", "source", r6("m").alias("weight"))
 
 
 @query("a15_region_unit_counts", f"WITH {SP} SELECT session, " + ", ".join(f"count(*) FILTER (region='{r}') AS {r}" for r in ("click", "error", "purchase", "signup", "view")) + " FROM (SELECT DISTINCT session, region, unit FROM sp) GROUP BY 1")

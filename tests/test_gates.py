@@ -144,3 +144,27 @@ def test_failed_duplicate_does_not_authorize(spark):
     got = {r["package_id"]: r for r in domain.decide_from_masks(masks, V2).where(f"claim = '{claim}'").collect()}
     assert got[1]["status"] == "profile_not_authorized" and got[1]["n_failed"] == 1 and blocks[0] in got[1]["deficits"]
     assert got[2]["status"] == "profile_authorized" and got[2]["deficits"] == []
+
+
+def test_every_status_vector_is_decided_and_a_broken_rule_is_found(spark):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from veriframe.operators import domain
+    from veriframe.sources.profiles import profile_from_requirements
+
+    profile = profile_from_requirements({"small": ("a",), "large": ("a", "b", "c")})
+    rows = [("p", "a", "passed"), ("p", "b", "failed"), ("p", "c", "passed"), ("q", "a", "passed"), ("q", "b", "passed"), ("q", "c", "passed"), ("r", "b", "passed")]
+    evidence = spark.createDataFrame(rows, "package_id string, block string, status string")
+
+    def unsafe(of):
+        return of.where((F.col("decision") == "supported") & ~F.col("all_passed")).count()
+
+    vectors = domain.status_vectors(evidence, profile)
+    assert {r["claim"]: r["n"] for r in vectors.groupBy("claim").agg(F.count("*").alias("n")).collect()} == {"small": 5, "large": 125}
+    assert {(r["claim"], r["vector"], r["decision"], r["packages"]) for r in vectors.where("packages > 0").collect()} == {
+        ("small", 4, "supported", 2), ("small", 2, "uncertain", 1), ("large", 4 + 0 + 100, "blocked", 1), ("large", 4 + 20 + 100, "supported", 1), ("large", 2 + 20 + 50, "uncertain", 1)}
+    assert unsafe(vectors) == 0 and vectors.where("decision = 'supported'").count() == 2
+    broken = replace(profile, rules=tuple((*r[:2], "any", *r[3:]) if r[4] == "supported" else r for r in profile.rules if r[3] != "failed"))
+    assert unsafe(domain.status_vectors(evidence, broken)) > 0

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.sources.profiles import Profile
+from veriframe.sources.profiles import STATUSES, Profile
 
 DECISION_COLUMNS = ("n_failed", "n_requires_review", "n_unknown", "n_not_applicable", "n_passed")
 
@@ -183,6 +183,51 @@ def deficit_list(facts: DataFrame) -> DataFrame:
     )
 
 
+def fired_step(profile: Profile, need: Column) -> Column:
+    """Position, by descending priority, of the rule that decides masks ``k_<status>`` on the blocks of ``need``."""
+    ordered = sorted(profile.rules, key=lambda r: -r[1])
+    fired = F.lit(None).cast("int")
+    for step in reversed(range(len(ordered))):
+        _, _, quantifier, status, _ = ordered[step]
+        found = F.col(f"k_{status}").bitwiseAND(need)
+        fired = F.when(found != 0 if quantifier == "any" else found == need, F.lit(step)).otherwise(fired)
+    return fired
+
+
+def status_vectors(evidence: DataFrame, profile: Profile) -> DataFrame:
+    """Every vector of statuses a claim's blocks can have, decided, with the packages of ``evidence`` that show it.
+
+    Columns claim, vector (its statuses as digits of base five, the first block lowest), decision, all_passed
+    and packages. Vectors come from a range as long as their number and are decided by the masks and
+    rules that decide packages; packages are counted by vector before the join. A block
+    without evidence is unknown; packages without any evidence are not counted.
+    """
+    digit = {s: i for i, s in enumerate(STATUSES)}
+    masks = status_masks(evidence, profile, "status")
+    index = profile.block_index()
+    ordered = sorted(profile.rules, key=lambda r: -r[1])
+    conclusion = F.element_at(F.array(*[F.lit(r[4]) for r in ordered]), F.col("fired") + 1)
+    parts, shown = [], []
+    for claim, blocks in profile.claims.items():
+        digits = [F.pmod(F.floor(F.col("id") / 5**i), F.lit(5)) for i in range(len(blocks))]
+        held = {s: sum((F.when(d == digit[s], F.lit(1 << i)).otherwise(0) for i, d in enumerate(digits)), F.lit(0)).cast("bigint") for s in STATUSES}
+        every = evidence.sparkSession.range(5 ** len(blocks)).select(F.lit(claim).alias("claim"), F.col("id").alias("vector"), *[m.alias(f"k_{s}") for s, m in held.items()])
+        need = F.lit((1 << len(blocks)) - 1).cast("bigint")
+        parts.append(every.withColumn("fired", fired_step(profile, need)).select("claim", "vector", conclusion.alias("decision"), (F.col("k_passed") == need).alias("all_passed")))
+        own = F.lit(0).cast("bigint")
+        for i, block in enumerate(blocks):
+            status = F.lit(digit["unknown"])
+            for s in ("passed", "not_applicable", "requires_review", "failed"):
+                status = F.when(F.col(f"m_{s}").bitwiseAND(F.lit(1 << index[block]).cast("bigint")) != 0, digit[s]).otherwise(status)
+            own = own + status * F.lit(5**i).cast("bigint")
+        shown.append(F.struct(F.lit(claim).alias("claim"), own.alias("vector")))
+    seen = masks.select(F.inline(F.array(*shown))).groupBy("claim", "vector").agg(F.count("*").alias("packages"))
+    vectors = parts[0]
+    for more in parts[1:]:
+        vectors = vectors.unionByName(more)
+    return vectors.join(seen, ["claim", "vector"], "left").withColumn("packages", F.coalesce("packages", F.lit(0).cast("bigint")))
+
+
 def prioritized_decisions(packages: DataFrame, evidence: DataFrame, profile: Profile) -> DataFrame:
     """First rule that fires by descending priority, with its position and witnesses."""
     index = profile.block_index()
@@ -206,13 +251,7 @@ def prioritized_decisions(packages: DataFrame, evidence: DataFrame, profile: Pro
     )
     need = F.col("c.need")
     ordered = sorted(profile.rules, key=lambda r: -r[1])
-    fired = F.lit(None).cast("int")
-    for step in reversed(range(len(ordered))):
-        _, _, quantifier, status, _ = ordered[step]
-        found = F.col(f"k_{status}").bitwiseAND(need)
-        test = found != 0 if quantifier == "any" else found == need
-        fired = F.when(test, F.lit(step)).otherwise(fired)
-    rows = rows.withColumn("fired", fired)
+    rows = rows.withColumn("fired", fired_step(profile, need))
     pick = lambda pos: F.element_at(F.array(*[F.lit(r[pos]) for r in ordered]), F.col("fired") + 1)
     mask = F.element_at(F.array(*[F.col(f"k_{r[3]}") for r in ordered]), F.col("fired") + 1)
     witnesses = F.transform(

@@ -366,6 +366,31 @@ def g25(t):
     return j.groupBy("claim").agg(F.count_distinct("vec").alias("vectors"), F.count_if(s).alias("supported"), F.count_if(s & ~F.col("ok")).alias("unsafe"))
 
 
+def _vectors_sql():
+    """All vectors of a claim as numbers, their statuses as base-five digits."""
+    parts = []
+    for claim, blocks in V1.claims.items():
+        digits = [f"(v // {5**i}) % 5" for i in range(len(blocks))]
+        has = lambda d: " OR ".join(f"{x} = {d}" for x in digits)
+        decision = f"CASE WHEN {has(0)} THEN 'blocked' WHEN {has(1)} THEN 'needs_external_review' WHEN {has(2)} THEN 'uncertain' WHEN {has(3)} THEN 'out_of_scope' ELSE 'supported' END"
+        parts.append(f"SELECT '{claim}' AS claim, v, {decision} AS decision, {' + '.join(f'(({x}) = 4)::INT' for x in digits)} = {len(blocks)} AS ok FROM range({5 ** len(blocks)}) r(v)")
+    return " UNION ALL ".join(parts)
+
+
+_DIGIT_SQL = "CASE coalesce(e.status,'unknown') WHEN 'failed' THEN 0 WHEN 'requires_review' THEN 1 WHEN 'unknown' THEN 2 WHEN 'not_applicable' THEN 3 ELSE 4 END"
+
+
+@query("g25_all_status_vectors", f"WITH {B.EVIDENCE_SQL}, req1(claim, block, pos) AS (VALUES {values(V1.relations())}), p AS (SELECT DISTINCT e.package_id FROM evidence e WHERE e.block IN (SELECT block FROM req1)), "
+ f"o AS (SELECT p.package_id, r.claim, sum({_DIGIT_SQL} * (5 ** (r.pos - (SELECT min(pos) FROM req1)))::BIGINT)::BIGINT AS v FROM p CROSS JOIN req1 r LEFT JOIN evidence e ON e.package_id=p.package_id AND e.block=r.block GROUP BY 1,2), "
+ f"c AS (SELECT claim, v, count(*) AS packages FROM o GROUP BY 1,2), a AS ({_vectors_sql()}) "
+ "SELECT claim, decision, count(*) AS vectors, count(c.packages) AS vectors_shown, coalesce(sum(c.packages),0)::BIGINT AS packages, count(*) FILTER (decision='supported' AND NOT ok) AS unsafe FROM a LEFT JOIN c USING (claim, v) GROUP BY 1,2")
+def g25_all(t):
+    """Every vector of every claim is decided, whether or not a package shows it."""
+    v = domain.status_vectors(B.evidence(t), V1)
+    unsafe = (F.col("decision") == "supported") & ~F.col("all_passed")
+    return v.groupBy("claim", "decision").agg(F.count("*").alias("vectors"), F.count_if(F.col("packages") > 0).alias("vectors_shown"), F.sum("packages").alias("packages"), F.count_if(unsafe).alias("unsafe"))
+
+
 @query("g26_review_audit", "WITH r AS (SELECT o_orderkey AS item, CASE o_orderstatus WHEN 'F' THEN 'accept' WHEN 'O' THEN 'revise' ELSE 'reject' END AS decision FROM orders WHERE o_orderpriority<>'5-LOW') SELECT coalesce(decision,'missing') AS decision, count(*) AS n FROM orders LEFT JOIN r ON r.item=o_orderkey GROUP BY 1")
 def g26(t):
     r = t.orders.filter("o_orderpriority <> '5-LOW'").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "accept").when(F.col("o_orderstatus") == "O", "revise").otherwise("reject").alias("decision"))

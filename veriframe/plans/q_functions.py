@@ -221,10 +221,12 @@ def p13(t):
     return agg.select(F.explode(rows).alias("r")).select("r.*").filter("n >= 100 and s > 1e-8").select("name", "n")
 
 
-@query("p14_strong_perturbations", "SELECT p_partkey, split_part(p_name,' ',-1) AS gene FROM (SELECT l_partkey, count(*) AS cells, -avg(l_discount)*10 AS knock, count(DISTINCT l_suppkey) AS degs FROM lineitem GROUP BY 1) JOIN part ON p_partkey=l_partkey WHERE degs>5 AND knock<=-0.3 AND cells>25")
+@query("p14_strong_perturbations", "SELECT p_partkey, split_part(p_name,' ',-1) AS gene FROM (SELECT l_partkey, count(*) AS cells, sum(CAST(l_discount AS DECIMAL(18,6))) AS total, count(l_discount) AS n, count(DISTINCT l_suppkey) AS degs FROM lineitem GROUP BY 1) JOIN part ON p_partkey=l_partkey WHERE degs>5 AND total>=0.03*n AND cells>25")
 def p14(t):
-    per = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("cells"), (-F.avg("l_discount") * 10).alias("knock"), F.count_distinct("l_suppkey").alias("degs"))
-    ok = per.filter("degs > 5 and knock <= -0.3 and cells > 25")
+    """Knock-down (-10 times the mean discount) of -0.3 or less; the mean is exact, so that a part on the limit doesn't hang on the order of a sum."""
+    per = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        F.count("*").alias("cells"), F.sum(F.col("l_discount").cast("decimal(18,6)")).alias("total"), F.count("l_discount").alias("n"), F.count_distinct("l_suppkey").alias("degs"))
+    ok = per.filter("degs > 5 and total >= 0.03 * n and cells > 25")
     return ok.join(t.part, "p_partkey").select("p_partkey", F.element_at(F.split("p_name", " "), -1).alias("gene"))
 
 
@@ -407,10 +409,16 @@ def w11(t):
 _MODELS = ("N", "A", "R")
 
 
-@query("w21_best_model", "SELECT subject, model, corr FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY corr DESC, CASE model WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) AS rn FROM (SELECT l_suppkey AS subject, l_returnflag AS model, round(avg(l_discount),4) AS corr FROM lineitem GROUP BY 1,2)) WHERE rn=1")
+# Mean discount to four places, halves away from zero, from whole millionths: no half hangs on the order of a sum.
+_CORR4 = "CASE WHEN m < 0 THEN -1 ELSE 1 END * ((2 * abs(m) + 100 * n) {div} (200 * n)) / 1e4"
+
+
+@query("w21_best_model", f"SELECT subject, model, corr FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY corr DESC, CASE model WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) AS rn FROM (SELECT subject, model, {_CORR4.format(div='//')} AS corr FROM (SELECT l_suppkey AS subject, l_returnflag AS model, sum(CAST(round(l_discount*1e6) AS BIGINT)) AS m, count(l_discount) AS n FROM lineitem GROUP BY 1,2))) WHERE rn=1")
 def w21(t):
     pos = F.create_map(*[x for i, m in enumerate(_MODELS) for x in (F.lit(m), F.lit(i))])[F.col("model")]
-    per = t.lineitem.groupBy(F.col("l_suppkey").alias("subject"), F.col("l_returnflag").alias("model")).agg(F.round(F.avg("l_discount"), 4).alias("corr"))
+    per = t.lineitem.groupBy(F.col("l_suppkey").alias("subject"), F.col("l_returnflag").alias("model")).agg(
+        F.sum(F.round(F.col("l_discount") * 1e6).cast("bigint")).alias("m"), F.count("l_discount").alias("n"))
+    per = per.select("subject", "model", F.expr(_CORR4.format(div="div")).alias("corr"))
     best = per.groupBy("subject").agg(F.max_by(F.struct("model", "corr"), F.struct("corr", -pos)).alias("b"))
     return best.select("subject", "b.model", "b.corr")
 

@@ -78,8 +78,7 @@ def a01(t):
 @query("a02_deficit_lists", f"""WITH {B.DOMAIN_SQL}
  SELECT package_id, claim, coalesce(string_agg(block||'='||eff, '|' ORDER BY pos) FILTER (eff<>'passed'),'') AS deficits FROM cf GROUP BY 1,2""")
 def a02(t):
-    facts = domain.requirement_facts(B.packages(t), B.evidence(t), V2)
-    return domain.deficit_list(facts).select("package_id", "claim", joined("deficits").alias("deficits"))
+    return domain.deficit_list(B.packages(t), B.evidence(t), V2).select("package_id", "claim", joined("deficits").alias("deficits"))
 
 
 @query("g01_domain_gate", f"""WITH {B.DOMAIN_SQL}

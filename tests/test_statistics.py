@@ -259,3 +259,24 @@ def test_continuous_frontier_equals_all_pairs(spark):
     d = spark.createDataFrame([*pts, (5000, None, 1.0, 1.0)], "id int, cost double, gain double, extra double").repartition(5)
     assert len(want) > 50 and {r["id"] for r in selection.pareto_frontier(d, "cost", "gain", "extra").collect()} == want
     assert {p[:3] for p in selection.staircase([p[1:] for p in pts])} == {p[1:] for p in pts if p[0] in want}
+
+
+def test_only_large_groups_are_cut_into_buckets(spark, monkeypatch):
+    from veriframe.operators import ranking
+
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 50)
+    rng = random.Random(8)
+    rows = [(g, i, rng.choice([None, 1.0, 1.0, rng.random()])) for g in (None, *range(20)) for i in range(1200 if g in (None, 3) else 9)]
+    df = spark.createDataFrame(rows, "g int, id int, v double").repartition(5).cache()
+    key = ranking._order_key(F.col("v"), [F.col("id")])
+    cut = {r["g"]: r["n"] for r in ranking._bucket(df, key, [F.col("g"), F.col("v"), F.col("id")], ["g"]).groupBy("g").agg(F.countDistinct("_b").alias("n")).collect()}
+    assert all((n > 12) == (g in (None, 3)) and (n == 1) == (g not in (None, 3)) for g, n in cut.items())
+    near = ranking.after_neighbour(df, ["g"], "v", [F.col("id")], ["id", "v"]).collect()
+    ranked = ranking.value_rank(df, ["g"], F.col("v"), [F.col("id")]).collect()
+    running = ranking.cumulative(df, ["g"], "v", {"c": F.count("*")}).collect()
+    for g in cut:
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is not None, r[2] or 0.0, r[1]))
+        assert {r["id"]: (r["prev_id"], r["prev_v"]) for r in near if r["g"] == g} == {b[1]: a[1:] for a, b in zip(order, order[1:], strict=False)}
+        assert [r["id"] for r in sorted((r for r in ranked if r["g"] == g), key=lambda r: r["rn"])] == [r[1] for r in order] and {r["n"] for r in ranked if r["g"] == g} == {len(order)}
+        values = [r[2] for r in order]
+        assert {(r["v"], r["c"], r["cum_c"], r["all_c"]) for r in running if r["g"] == g} == {(v, values.count(v), len(values) - values[::-1].index(v), len(values)) for v in values}

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veriframe.functions.numeric import corr, safe_corr
-from veriframe.operators.ranking import shift, value_rank, with_previous
+from veriframe.operators.ranking import after_neighbour, shift, value_rank, with_previous
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, stop: str, width: float, how: str = "inner") -> DataFrame:
@@ -210,7 +210,7 @@ def functional_connectivity(tc: DataFrame, key: list[str]) -> DataFrame:
 def igci_slopes(pairs: DataFrame, key: list[str], x: str, y: str, ties: list[Column]) -> DataFrame:
     """Mean log absolute slope along the order of x after standardization."""
     m = pairs.groupBy(*key).agg(F.avg(x).alias("_mx"), F.stddev_pop(x).alias("_sx"), F.avg(y).alias("_my"), F.stddev_pop(y).alias("_sy"))
-    d = with_previous(value_rank(pairs, key, F.col(x), [F.col(y), *ties]), key, [x, y], 1, "inner").join(m, key)
+    d = after_neighbour(pairs, key, x, [F.col(y), *ties], [x, y]).join(m, key)
     dx = (F.col(x) - F.col(f"prev_{x}")) / F.col("_sx")
     dy = (F.col(y) - F.col(f"prev_{y}")) / F.col("_sy")
     use = F.abs(dx) > 1e-9

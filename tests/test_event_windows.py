@@ -1,7 +1,10 @@
 """Event windows against loops over all pairs, and what their plans move."""
 
+import math
 import random
 
+from pyspark.sql import functions as F
+
 from veriframe.operators import timeseries as TS
 from veriframe.plans import catalog
 
@@ -45,3 +48,25 @@ def test_pairs_of_events_and_spikes_are_not_moved(spark):
     above = plan("j13_spike_windows").split("Join")[0]
     assert "Aggregate" not in above and "Exchange" not in above
     assert "Join [session#" in plan("e02_change_profile") and not [x for x in plan("e02_change_profile").splitlines() if "Join" in x and "t#" in x and "w0#" in x]
+
+
+def test_bins_of_running_sums_equal_those_of_pairs(spark):
+    """Spikes that stand exactly on a bin's edge fall where the floor of their rounded distance puts them."""
+    rng = random.Random(12)
+    ats = [rng.choice([0, 3, 900, 2_600_000]) + rng.randrange(4_000_000) / 1e6 for _ in range(40)] * 2
+    events = [(g, at, i) for g in (0, 1) for i, at in enumerate(ats)]
+    times = [round(rng.choice(ats) * 1e6 + rng.choice([0, 0, 1, -1]) + rng.randrange(-5, 10) * 900_000_000) / 1e6 for _ in range(600)]
+    spikes = [(g, i % 7, rng.choice(["a", "b"]), t) for g in (0, 1) for i, t in enumerate(times)]
+    want = {}
+    for g, _, region, t in spikes:
+        for h, at, i in events:
+            w0 = at - 3600.0
+            if g == h and w0 <= t < at + 7200.0:
+                b = min(math.floor((t - w0) / 900.0), 11)
+                n = want.setdefault((g, region, b), [0, 0, 0])
+                n[0] += 1
+                n[1 + i % 2] += 1
+    e = spark.createDataFrame(events, "session int, at double, ordinal int").select("session", "at", (F.col("ordinal") % 2 == 0).alias("even"))
+    s = spark.createDataFrame(spikes, "session int, unit int, region string, t double")
+    df = TS.bin_counts(s, e, ["session"], -3600.0, 7200.0, 900.0, 12)
+    assert {(r["session"], r["region"], r["bin"]): [r["n"], r["n0"], r["n1"]] for r in df.collect() if r["n"]} == want

@@ -80,14 +80,40 @@ def change_profile(spikes: DataFrame, events: DataFrame, key: list[str], window:
     )
 
 
+def bin_counts(spikes: DataFrame, events: DataFrame, key: list[str], start: float, stop: float, bin_size: float, n_bins: int) -> DataFrame:
+    """Per (key, region, bin) the spikes in that bin of an event's window: over all events ``n``, the even ``n0``, the others ``n1``.
+
+    How many events have a time in their bin is a step function of that time, so starts of bins and spikes are put
+    in order and the starts run up, as in `signed_sums`: no pair is formed. A bin starts at the first number
+    that ``floor((t - start of the window) / bin_size)`` puts there, found by halving, so rounding is that of a pair.
+    """
+    w0, b = F.col("at") + start, F.col("b")
+    near = (F.abs(w0) + (stop - start)) * 2.0**-45  # more than the rounding of the expression
+    middle = lambda s: (s["lo"] + s["hi"]) / 2
+    ends = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    found = F.aggregate(
+        F.sequence(F.lit(1), F.lit(40)), ends(w0 + b * bin_size - near, w0 + b * bin_size + near),
+        lambda s, _: F.when(F.floor((middle(s) - w0) / bin_size) >= b, ends(s["lo"], middle(s))).otherwise(ends(middle(s), s["hi"])))["hi"]
+    x = F.when(b == 0, w0).when(b == n_bins, F.col("at") + stop).otherwise(found)
+    kind, one, none = spikes.schema["region"].dataType, F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    edges = events.groupBy(*key, "at").agg(F.count("*").alias("c"), F.count_if("even").alias("c0")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_bins))))
+    rows = edges.select(*key, x.alias("x"), F.lit(None).cast(kind).alias("region"), none.alias("n"), "b", "c", "c0")
+    rows = rows.unionByName(spikes.groupBy(*key, F.col("t").alias("x"), "region").agg(F.sum(one).alias("n")).withColumns({"b": F.lit(-1), "c": none, "c0": none}))
+    sums = {f"{c}_{i}": F.sum(F.when(b == i, F.col(c)).otherwise(none)) for i in range(n_bins + 1) for c in ("c", "c0")}
+    rows = shift(rows.withColumn("_b", F.floor(F.col("x") / (stop - start)).cast("bigint")), key, sums)
+    upto = W.partitionBy(*key, "_b").orderBy("x").rangeBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.select(*key, "region", "n", *[(s.over(upto) + F.col(f"_o_{name}")).alias(name) for name, s in sums.items()]).where("n > 0")
+    inside = lambda c, i: F.sum(F.col("n") * (F.col(f"{c}_{i}") - F.col(f"{c}_{i + 1}")))
+    out = rows.groupBy(*key, "region").agg(*[inside(c, i).alias(f"{c}_in_{i}") for i in range(n_bins) for c in ("c", "c0")])
+    bins = F.array(*[F.struct(F.lit(i).cast("bigint").alias("bin"), F.col(f"c_in_{i}").alias("n"), F.col(f"c0_in_{i}").alias("n0")) for i in range(n_bins)])
+    return out.select(*key, "region", F.inline(bins)).withColumn("n1", F.col("n") - F.col("n0"))
+
+
 def change_timecourse(spikes: DataFrame, events: DataFrame, key: list[str], start: float, stop: float, bin_size: float) -> DataFrame:
     """Zero-filled rate per (region, bin) around the events, with odd and even events apart."""
     n_bins = int(round((stop - start) / bin_size))
-    iv = events.withColumn("w0", F.col("at") + start).withColumn("w1", F.col("at") + stop)
-    hit = interval_join(spikes, iv, key, "t", "w0", "w1", stop - start)
-    hit = hit.withColumn("bin", F.least(F.floor((F.col("t") - F.col("w0")) / bin_size), F.lit(n_bins - 1)).cast("bigint"))
     even = F.col("ordinal") % 2 == 0
-    c = hit.groupBy(*key, "region", "bin").agg(F.count("*").alias("n"), F.count_if(even).alias("n0"), F.count_if(~even).alias("n1"))
+    c = bin_counts(spikes, events.select(*key, "at", even.alias("even")), key, start, stop, bin_size, n_bins)
     ev = events.groupBy(*key).agg(F.count("*").alias("e"), F.count_if(even).alias("e0"), F.count_if(~even).alias("e1"))
     spine = unit_counts(spikes, key).join(ev, key).withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_bins - 1).cast("bigint"))))
     d = spine.join(c, [*key, "region", "bin"], "left").na.fill(0, ["n", "n0", "n1"])

@@ -448,7 +448,9 @@ _REF = _TC + ", ref AS (SELECT a.session, a.region, a.bin, a.hz, a.odd_hz, a.eve
 
 def reliability_rows(t):
     """Each session's timecourse against the mean of the others, plus its split halves."""
-    tc = timecourse(t)
+    from veriframe.session import cut
+
+    tc = cut(timecourse(t))
     tot = tc.groupBy("region", "bin").agg(F.sum("hz").alias("s"), F.count("*").alias("n"))
     return tc.join(tot, ["region", "bin"]).withColumn("ref", (F.col("s") - F.col("hz")) / (F.col("n") - 1))
 

@@ -8,6 +8,7 @@ from veriframe.functions import numeric as N
 from veriframe.operators import graph, ranking, selection
 from veriframe.operators import timeseries as TS
 from veriframe.plans.registry import query
+from veriframe.session import cut
 
 r6 = lambda c: F.round(c, 6)
 r9 = lambda c: F.round(c, 9)
@@ -53,7 +54,7 @@ _TC = f"""WITH {CE}, {UN}, h AS (SELECT c.session, s.region, least(floor((s.t-(c
 
 
 def timecourse(t):
-    return TS.change_timecourse(spikes(t), change_events(t), ["session"], -3600.0, 7200.0, 900.0)
+    return TS.change_timecourse(spikes(t), cut(change_events(t)), ["session"], -3600.0, 7200.0, 900.0)
 
 
 @query("e03_change_timecourse", _TC + " SELECT session, region, bin, round(time,6) AS time, round(hz,9) AS hz, round(odd_hz,9) AS odd_hz, round(even_hz,9) AS even_hz FROM tc")

@@ -33,15 +33,19 @@ def identifier(kind: str, value: Column) -> Column:
 
 
 def evidence_triples(evidence: DataFrame) -> DataFrame:
-    """Subject, predicate, object rows of evidence packages."""
+    """Subject, predicate, object rows of evidence packages, each once.
+
+    A subject is one (package, block): named beside it, they let evidence that is already dealt by them stay where it is.
+    """
     s = identifier("fact", F.concat_ws("/", F.col("package_id").cast("string"), F.col("block")))
     fixed = F.array(
         F.struct(F.lit("packageId").alias("p"), F.col("package_id").cast("string").alias("o")), F.struct(F.lit("blockName").alias("p"), F.col("block").alias("o")),
         F.struct(F.lit("declaredStatus").alias("p"), F.col("status").alias("o")), F.struct(F.lit("source").alias("p"), F.col("source").alias("o")),
         F.struct(F.lit("rule").alias("p"), F.col("rule").alias("o")), F.struct(F.lit("rationale").alias("p"), F.col("rationale").alias("o")))
     obs = F.transform(F.map_entries("observations"), lambda e: F.struct(F.concat(F.lit("observation/"), F.replace(F.url_encode(e["key"]), F.lit("+"), F.lit("%20"))).alias("p"), e["value"].alias("o")))
-    rows = evidence.select(s.alias("subject"), F.explode(F.concat(fixed, obs)).alias("t")).select("subject", F.col("t.p").alias("predicate"), F.col("t.o").alias("object"))
-    return rows.filter(F.col("object").isNotNull()).distinct()
+    key = ["package_id", "block"]
+    rows = evidence.select(*key, s.alias("subject"), F.explode(F.concat(fixed, obs)).alias("t")).select(*key, "subject", F.col("t.p").alias("predicate"), F.col("t.o").alias("object"))
+    return rows.filter(F.col("object").isNotNull()).distinct().drop(*key)
 
 
 def ntriples(triples: DataFrame) -> DataFrame:

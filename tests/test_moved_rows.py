@@ -43,3 +43,22 @@ def test_requested_claims_keep_their_rows(spark):
     got = sorted(((r["package_id"] or 0, r["claim"], r["status"], r["n_failed"]) for r in domain.infer_requested(rq, ev, V2).collect()), key=str)
     no, out = "profile_not_authorized", "outside_profile"
     assert got == sorted([(1, claim, no, 1), (1, claim, no, 1), (2, claim, no, 0), (1, "none", out, None), (0, claim, out, None)], key=str)
+
+
+@pytest.mark.parametrize(("name", "keys"), [("s20_evidence_triples", ("subject", "object")), ("g09_two_semantics_agree", ("claim",))])
+def test_rows_stay_with_their_package(spark, name, keys):
+    """Triples and decisions of a package are never dealt anew after its facts were."""
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(catalog.QUERIES[name](spark, SMALL)))
+    assert moved and not any(k in m for m in moved for k in keys)
+
+
+def test_second_semantics_agrees_on_odd_evidence(spark):
+    from veriframe.plans.q_authorization import second_semantics
+
+    claim, blocks = next(iter(V2.claims.items()))
+    rows = [(1, b, "passed", "s", "r", "w", dict.fromkeys(V2.blocks[b], "v")) for b in blocks] + [(2, blocks[0], "failed", "s", "r", "w", {"a": "b"}), (9, blocks[0], "passed", "s", "r", "w", {"a": "b"})]
+    ev = spark.createDataFrame(rows, "package_id long, block string, status string, source string, rule string, rationale string, observations map<string,string>")
+    packages = spark.createDataFrame([(1,), (2,), (3,)], "package_id long")
+    first = {(r["package_id"], r["claim"]): (r["status"], len(r["deficits"])) for r in domain.infer_all(packages, ev, V2).collect()}
+    second = {(r["package_id"], r["claim"]): (r["status"], r["n_deficits"]) for r in second_semantics(spark, packages, ev, V2).collect()}
+    assert first == second and first[1, claim] == ("profile_authorized", 0) and first[3, claim] == ("profile_not_authorized", len(blocks))

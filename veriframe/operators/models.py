@@ -63,36 +63,32 @@ def linear(xs: list[str]) -> Column:
 def residual_ridge_cv(train: DataFrame, key: Column, xs: list[str], y: str, alphas: tuple[float, ...], betas: list[float], folds: int = 5) -> dict:
     """Best (alpha, beta) of ``mean + beta * residual ridge`` by pooled held-out correlation.
 
-    Fold moments give every held-out fit by subtraction, and the correlation for any
-    beta follows from per-fold sums of the residual predictions: two passes in all.
+    Fold moments give every held-out fit by subtraction, and the sums of a fit's predictions over a fold
+    follow from the same moments, so the correlation for any beta too: one pass in all.
     """
     d = hash_rank(train, [], key, "folds").withColumn("fold", (F.col("rn") - 1) % folds).drop("rn", "n")
     rows = {r["fold"]: r for r in moment_sums(d, ["fold"], xs, y).collect()}  # one small row per fold
     add = lambda name: sum(np.asarray(r[name], float) for r in rows.values())
     total = {name: add(name) for name in ("n", "sy", "sx", "sxy", "sxx")}
-    models, means = {}, {}
+    means, sums = {}, {}
+    upper = np.triu_indices(len(xs))
     for f, r in rows.items():
         part = {name: total[name] - np.asarray(r[name], float) for name in total}
         means[f] = float(part["sy"] / part["n"])
-        for a in alphas:
-            models[f, a] = solve_ridge(float(part["n"]), float(part["sy"]), part["sx"], part["sxy"], part["sxx"], a)
-    preds = {}
-    for i, a in enumerate(alphas):
-        c = F.lit(0.0)
-        for f in rows:
-            b0, b = models[f, a]
-            expr = F.lit(b0 - means[f]) + sum((F.lit(float(v)) * F.col(x) for v, x in zip(b, xs, strict=True)), F.lit(0.0))
-            c = F.when(F.col("fold") == f, expr).otherwise(c)
-        preds[a] = c.alias(f"p{i}")
-    scored = d.select("fold", F.col(y).alias("y"), *preds.values())
-    sums = scored.groupBy("fold").agg(
-        F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"),
-        *[e for i in range(len(alphas)) for e in (F.sum(f"p{i}").alias(f"sp{i}"), F.sum(F.col(f"p{i}") * F.col(f"p{i}")).alias(f"spp{i}"), F.sum(F.col(f"p{i}") * F.col("y")).alias(f"spy{i}"))]).collect()
+        sx, sxy, sxx = np.asarray(r["sx"], float), np.asarray(r["sxy"], float), np.zeros((len(xs), len(xs)))
+        sxx[upper] = r["sxx"]
+        sxx = sxx + np.triu(sxx, 1).T
+        own = {"fold": f, "n": r["n"], "sy": r["sy"], "syy": r["syy"]}
+        for i, a in enumerate(alphas):
+            b0, b = solve_ridge(float(part["n"]), float(part["sy"]), part["sx"], part["sxy"], part["sxx"], a)
+            c = b0 - means[f]
+            own |= {f"sp{i}": r["n"] * c + b @ sx, f"spp{i}": r["n"] * c * c + 2 * c * (b @ sx) + b @ sxx @ b, f"spy{i}": c * r["sy"] + b @ sxy}
+        sums[f] = own
     best = (-2.0, None, None)
     for i, a in enumerate(alphas):
         for b in betas:
             n = sy = syy = sq = sqq = sqy = 0.0
-            for r in sums:
+            for r in sums.values():
                 m = means[r["fold"]]
                 n += r["n"]
                 sy += r["sy"]

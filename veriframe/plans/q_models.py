@@ -10,7 +10,7 @@ from veriframe.operators import models as M
 from veriframe.operators import ranking, risk, selection
 from veriframe.plans.q_risk import CLAIMS4, risk_cases
 from veriframe.plans.registry import query
-from veriframe.session import cut
+from veriframe.session import cut, stored
 
 r6 = lambda c: F.round(c, 6)
 r9 = lambda c: F.round(c, 9)
@@ -288,22 +288,24 @@ def i37(t):
     """Tuning similarity against distance on hash-sampled pairs, with coordinates permuted for the null."""
     from veriframe.operators import inference as I
 
-    e = t.embeddings.select(F.col("vec_id").alias("root"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.col("label").cast("double").alias("cx"))
+    reps = 20
+    ok = "label IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('infinity'))"
+    e = t.embeddings.where(ok).select(F.col("vec_id").alias("root"), F.col("embedding").alias("v"), F.col("label").cast("double").alias("cx"))
+    double = lambda x: x.cast("double")
     n_ = F.size("v")
-    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / n_
-    e = e.withColumn("m", mean).withColumn("sd", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m"))) / n_))
-    e = cut(e.select("root", "cx", F.transform("v", lambda x: (x - F.col("m")) / F.col("sd")).alias("z")))
-    ix = cut(I.index_units(e.select("root"), [], "root"))
-    draw = ix.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    e = e.withColumn("m", F.aggregate("v", F.lit(0.0), lambda a, x: a + double(x)) / n_)
+    e = e.withColumn("sd", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (double(x) - F.col("m")) * (double(x) - F.col("m"))) / n_))
+    e = e.withColumn("sd", F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")))
+    # A unit's own coordinate and those it takes in the replicates are one array: a pair meets each of its units once.
+    moved = I.permuted_values(e, "root", "cx", reps, "coords")
+    u = stored(I.index_units(e, [], "root").join(moved, "idx").select("root", "idx", "n", "v", "m", "sd", F.concat(F.array("cx"), "moved").alias("cs")))
     off = H.hash_index(F.concat_ws(":", F.lit("topo"), F.col("root").cast("string"), F.col("j").cast("string")), F.col("n") - 1) + 1
-    p = draw.select(F.col("root").alias("a"), F.pmod(F.col("idx") + off, F.col("n")).alias("idx")).join(ix.select(F.col("root").alias("b"), "idx"), "idx").select("a", "b")
-    za = e.select(F.col("root").alias("a"), F.col("z").alias("z1"), F.col("cx").alias("x1"))
-    zb = e.select(F.col("root").alias("b"), F.col("z").alias("z2"), F.col("cx").alias("x2"))
-    sim = F.aggregate(F.zip_with("z1", "z2", lambda u, v: u * v), F.lit(0.0), lambda s, x: s + x) / F.size("z1")
-    base = cut(p.join(za, "a").join(zb, "b").select("a", "b", r9(sim).alias("sim"), (-F.abs(F.col("x1") - F.col("x2"))).alias("near")))
-    obs = I.spearman(base.withColumn("rep", F.lit(-1)), ["rep"], "near", "sim")
-    perm = I.permutations(e.select("root"), [], "root", 20, "coords").join(e.select(F.col("root").alias("other"), "cx"), "other")
-    moved = base.select("a", "b", "sim").join(perm.select("rep", F.col("root").alias("a"), F.col("cx").alias("x1")), "a").join(perm.select("rep", F.col("root").alias("b"), F.col("cx").alias("x2")), ["rep", "b"])
-    null = I.spearman(moved.select("rep", "sim", (-F.abs(F.col("x1") - F.col("x2"))).alias("near")), ["rep"], "near", "sim")
-    j = null.withColumn("_one", F.lit(1)).join(F.broadcast(obs.select(F.col("rho").alias("observed"), F.lit(1).alias("_one"))), "_one")
+    p = u.where("n > 1").select("root", "idx", "n", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("j"))
+    p = p.select(F.col("idx").alias("a"), F.pmod(F.col("idx") + off, F.col("n")).alias("b"))
+    p = p.join(u.select(F.col("idx").alias("b"), F.col("v").alias("v2"), F.col("m").alias("m2"), F.col("sd").alias("sd2"), F.col("cs").alias("c2")), "b")
+    p = p.join(u.select(F.col("idx").alias("a"), F.transform("v", lambda x: (double(x) - F.col("m")) / F.col("sd")).alias("z1"), F.col("cs").alias("c1")), "a")
+    sim = F.aggregate(F.zip_with("z1", "v2", lambda z, x: z * ((double(x) - F.col("m2")) / F.col("sd2"))), F.lit(0.0), lambda s, x: s + x) / F.size("z1")
+    base = stored(p.select(r9(sim).alias("sim"), F.zip_with("c1", "c2", lambda x, y: -F.abs(x - y)).alias("near")))
+    rho = cut(I.rank_correlations(base, "sim", "near"))
+    j = rho.where("rep > 0").crossJoin(F.broadcast(rho.where("rep = 0").select(F.col("rho").alias("observed"))))
     return j.groupBy("observed").agg(F.median("rho").alias("null_median"), F.percentile("rho", F.lit(0.95)).alias("null_p95"), ((1 + F.count_if(F.col("rho") >= F.col("observed"))) / (F.count("*") + 1.0)).alias("p"))

@@ -572,3 +572,26 @@ def test_pipeline_is_its_stages_by_force(spark, library):
         own = np.append(ids_of(library, left[d]), 1).astype("<u4")
         assert sorted((r["piece"], r["length"]) for r in got if r["doc_id"] == d) == [(k, len(own[a : a + 4096])) for k, a in enumerate(range(0, len(own), 4096))]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "toxicity", "simhash near-dedup", "best-fit packing"]
+
+
+def test_site_runs_leave_articles(spark, monkeypatch):
+    notice, quote = "please read our terms of use before you write to us", "a line that some articles of this host say again"
+    rows = []
+    for k in range(40):
+        said = f"<p>{quote}</p>" if k % 3 == 0 else ""
+        note = f"<p>{notice}</p>" if k % 8 else ""
+        rows.append((k, "http://a.example/", f"<nav>n{k}</nav><article><p>{' '.join(f'w{k}x{n}' for n in range(30))}</p>{said}{note}<p>end {notice} {k}</p></article>"))
+    near = " ".join(f"v{n}" for n in range(20))
+    rows += [(100 + k, "http://b.example/", f"<article><p>{near}</p><p>{k}</p></article>") for k in range(6)]  # near copies
+    rows += [(200 + k, "http://c.example/", f"<nav>{k}</nav><article><p>{near}</p></article>") for k in range(30)]  # one article
+    rows += [(300 + k, "http://d.example/", f"<article><p>{notice}</p><p>{' '.join(f'd{k}x{n}' for n in range(30))}</p></article>") for k in range(3)]  # too few
+    want = {k: " ".join(pages.laid_out(html)[0][n] for n in np.flatnonzero(pages.laid_out(html)[1] == pages.MAIN)) for k, _, html in rows}
+    kept = dict(want)
+    for k in range(40):
+        want[k] = kept[k].replace(f" {notice} end", " end")
+    assert sum(want[k] != kept[k] for k in want) == 35
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for size in (1, 900, pages.SHARD_BYTES):
+        monkeypatch.setattr(pages, "SHARD_BYTES", size)
+        got = {r["page_id"]: r["text"] for r in pages.extract(table).collect()}
+        assert got == want, size

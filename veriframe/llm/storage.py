@@ -4,23 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-#: Names of one store in Spark's file systems and in Arrow's.
-SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}
-
-
-def arrow_uri(path: str) -> str:
-    """The path as Arrow's file systems spell it; one without a scheme is a local (or mounted) path."""
-    if "://" not in path:
-        return path if path.startswith("file:") else f"file://{path}"
-    scheme, rest = path.split("://", 1)
-    return f"{SCHEMES.get(scheme, scheme)}://{rest}"
-
-
-def filesystem(path: str):
-    """(file system, path inside it)."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(arrow_uri(path))
+from veriframe.sources.files import filesystem
 
 
 class AtomicFile:

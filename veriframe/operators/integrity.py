@@ -8,6 +8,8 @@ package with very many witnesses never becomes one array in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -188,7 +190,7 @@ ROWS = (
     "kind string, package_id long, key string, other string, status string, flag boolean, "
     "declared_sha256 string, study_id string, data_generation_id string, cohorts array<string>"
 )
-_NAMES = [c.split()[0] for c in ROWS.split(", ")]
+NAMES = [c.split()[0] for c in ROWS.split(", ")]
 
 
 def row(kind: str, **values: Column) -> list[Column]:
@@ -199,7 +201,7 @@ def row(kind: str, **values: Column) -> list[Column]:
     independent, disjoint: left, right. block: name, status."""
     types = dict(c.split(" ", 1) for c in ROWS.split(", "))
     values["kind"] = F.lit(kind)
-    return [(values[n] if n in values else F.lit(None)).cast(types[n]).alias(n) for n in _NAMES]
+    return [(values[n] if n in values else F.lit(None)).cast(types[n]).alias(n) for n in NAMES]
 
 
 def hash_holds() -> Column:
@@ -283,8 +285,12 @@ def pair_deficits(rows: DataFrame) -> DataFrame:
     columns = ["declared_sha256", "study_id", "data_generation_id", "cohorts"]
     own = pairs.filter("left_id <> right_id").select("package_id").distinct()
     named = rows.join(own.hint("shuffle_hash"), "package_id", "left_semi").select("package_id", "kind", *columns, F.explode(names).alias("key"))
-    asked = F.max((F.col("kind") != "artifact").cast("int")).over(W.partitionBy("package_id", "key"))
-    content = named.withColumn("asked", asked).where("asked = 1 AND kind = 'artifact'").select("package_id", "key", *columns).distinct()
+    asked = [F.max((F.col("kind") == kind).cast("int")).over(W.partitionBy("package_id", "key")) for kind in ("independent", "disjoint")]
+    held = named.withColumns({"_independent": asked[0] == 1, "_disjoint": asked[1] == 1}).where("kind = 'artifact' AND (_independent OR _disjoint)")
+    # Contents and origins are only compared within a package, so their places in its order are moved in place of texts.
+    origin = F.when((F.col("study_id") != "") & (F.col("data_generation_id") != ""), F.struct("study_id", "data_generation_id"))
+    place = lambda c: F.when(F.col("_independent") & c.isNotNull(), F.dense_rank().over(W.partitionBy("package_id").orderBy(c)))
+    content = held.select("package_id", "key", place(F.col("declared_sha256")).alias("hash"), place(origin).alias("origin"), F.when(F.col("_disjoint"), F.col("cohorts")).alias("cohorts")).distinct()
 
     def side(name: str, tag: str) -> DataFrame:
         return content.select("package_id", F.col("key").alias(name), *[F.col(c).alias(f"{tag}_{c}") for c in content.columns[2:]])
@@ -293,8 +299,7 @@ def pair_deficits(rows: DataFrame) -> DataFrame:
     reflexive = pairs.filter("left_id = right_id").select("package_id", code.alias("code"), F.concat(label, F.lit(":reflexive")).alias("witness"))
     both = pairs.filter("left_id <> right_id").join(side("left_id", "l").hint("merge"), ["package_id", "left_id"]).join(side("right_id", "r").hint("merge"), ["package_id", "right_id"])
     l, r = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
-    origin = (l("study_id") != "") & (l("data_generation_id") != "") & (l("study_id") == r("study_id")) & (l("data_generation_id") == r("data_generation_id"))
-    same = F.coalesce(l("declared_sha256") == r("declared_sha256"), F.lit(False)) | F.coalesce(origin, F.lit(False))
+    same = F.coalesce(l("hash") == r("hash"), F.lit(False)) | F.coalesce(l("origin") == r("origin"), F.lit(False))
     shared = F.coalesce(F.array_intersect(l("cohorts"), r("cohorts")), F.array().cast("array<string>"))
     witnesses = F.when(F.col("kind") == "disjoint", F.transform(shared, lambda c: F.concat(label, F.lit(":"), c))).otherwise(F.when(same, F.array(label)).otherwise(F.array().cast("array<string>")))
     found = both.select("package_id", code.alias("code"), F.explode(witnesses).alias("witness")).distinct()
@@ -324,19 +329,34 @@ def cycle_deficits(rows: DataFrame) -> DataFrame:
     return _deficit(cycles.cycle_paths(edges).where("position = 0"), "provenance_cycle", F.col("smallest"))
 
 
-def deficits_of(rows: DataFrame, packages: DataFrame, profile: Profile) -> DataFrame:
-    """All deficit rows of all packages from one written table of ``ROWS``, bucketed by package."""
-    rows = bucketed(rows, "package_id")
-    parts = [profile_identity(packages, profile), counted_deficits(rows), cycle_deficits(rows), pair_deficits(rows), stated_mismatch(rows)]
+def deficits_in_place(rows_of: Callable[..., DataFrame], packages: DataFrame, profile: Profile) -> DataFrame:
+    """All deficit rows of all packages from rows that lie by package already, such as those derived from bucketed tables.
+
+    ``rows_of(*kinds, content)`` gives the ``ROWS`` of these kinds (all if none is named), with null for what describes an artifact unless
+    ``content``. It is asked anew for every step, so the rows themselves are never written."""
+    parts = [
+        profile_identity(packages, profile), counted_deficits(rows_of(content=False)), cycle_deficits(rows_of("derived", "artifact", content=False)),
+        pair_deficits(rows_of("independent", "disjoint", "artifact", content=True)), stated_mismatch(rows_of("attested", "block", content=False))]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def deficits(manifest: dict[str, DataFrame], evidence: DataFrame, profile: Profile) -> DataFrame:
-    """All deficit rows of all packages; a block supplied twice is refused under the code ``REFUSED``."""
-    return deficits_of(manifest_rows(manifest, evidence), manifest["packages"], profile)
+def deficits_of(rows: DataFrame, packages: DataFrame, profile: Profile) -> DataFrame:
+    """All deficit rows of all packages from a table of ``ROWS`` in any order; it is written once, bucketed by package."""
+    rows = bucketed(rows, "package_id")
+    return deficits_in_place(lambda *kinds, content: rows, packages, profile)
+
+
+def deficits(manifest: dict[str, DataFrame], evidence: DataFrame, profile: Profile, in_place: bool = False) -> DataFrame:
+    """All deficit rows of all packages; a block supplied twice is refused under the code ``REFUSED``.
+
+    ``in_place``: all tables are projections of one that is bucketed by package, so their rows aren't written once more."""
+    rows = manifest_rows(manifest, evidence)
+    if in_place:
+        return deficits_in_place(lambda *kinds, content: rows, manifest["packages"], profile)
+    return deficits_of(rows, manifest["packages"], profile)
 
 
 def code_counts(rows: DataFrame) -> DataFrame:

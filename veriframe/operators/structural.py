@@ -26,14 +26,10 @@ def package_field_deficits(requests: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def block_deficits(packages: DataFrame, evidence: DataFrame, profile: Profile) -> DataFrame:
-    """Claim-independent fact deficits plus missing blocks, expanded to claims by literal lookup.
-
-    Facts are judged once per (package, block); only then are they fanned out to
-    the claims that require the block.
-    """
+def judged_facts(evidence: DataFrame, profile: Profile) -> DataFrame:
+    """``package_id, block, codes, fields``: what is wrong with each supplied fact, and which fields a passed one lacks."""
     required = _fields_of_block(profile)[F.col("block")]
-    fact = evidence.filter(F.col("block").isin(list(profile.blocks))).select(
+    return evidence.filter(F.col("block").isin(list(profile.blocks))).select(
         "package_id", "block",
         F.array_compact(F.array(
             F.when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), F.lit("invalid_or_missing_status")),
@@ -42,7 +38,15 @@ def block_deficits(packages: DataFrame, evidence: DataFrame, profile: Profile) -
         F.when(F.col("status") == "passed", F.filter(required, lambda f: F.col("observations")[f].isNull()))
         .otherwise(F.array().cast("array<string>")).alias("fields"),
     )
-    rows = fact.select(
+
+
+def block_deficits(packages: DataFrame, evidence: DataFrame, profile: Profile) -> DataFrame:
+    """Claim-independent fact deficits plus missing blocks, expanded to claims by literal lookup.
+
+    Facts are judged once per (package, block); only then are they fanned out to
+    the claims that require the block.
+    """
+    rows = judged_facts(evidence, profile).select(
         "package_id", "block",
         F.explode(F.concat(
             F.transform("codes", lambda c: F.struct(c.alias("code"), F.col("block").alias("witness"))),
@@ -76,3 +80,23 @@ def missing_blocks(packages: DataFrame, evidence: DataFrame, profile: Profile) -
 
 def deficits(requests: DataFrame, packages: DataFrame, evidence: DataFrame, profile: Profile) -> DataFrame:
     return package_field_deficits(requests, profile).unionByName(block_deficits(packages, evidence, profile))
+
+
+def package_masks(requests: DataFrame, packages: DataFrame, evidence: DataFrame, profile: Profile) -> DataFrame:
+    """``package_id, s_claims, s_open``: claims with a package field that fails, and blocks that are missing or have a deficit, as bits.
+
+    The deficits of a (package, claim) folded into one row a package before claims are expanded: a claim conforms if
+    its bit and those of its blocks are clear."""
+    claim_bit, block_bit = (F.create_map(*[x for k, i in index.items() for x in (F.lit(k), F.lit(1 << i).cast("bigint"))]) for index in (claim_index(profile), profile.block_index()))
+    zero = F.lit(0).cast("bigint")
+    bit = block_bit[F.col("block")]
+    fields = package_field_deficits(requests, profile).groupBy("package_id").agg(F.bit_or(claim_bit[F.col("claim")]).alias("s_claims"))
+    blocks = judged_facts(evidence, profile).groupBy("package_id").agg(
+        F.bit_or(bit).alias("_have"), F.bit_or(F.when(F.size("codes") + F.size("fields") > 0, bit).otherwise(zero)).alias("_bad"))
+    every = packages.select("package_id").distinct().join(blocks.hint("merge"), "package_id", "left").join(fields.hint("merge"), "package_id", "left")
+    lacking = F.bitwise_not(F.coalesce("_have", zero)).bitwiseOR(F.coalesce("_bad", zero))
+    return every.select("package_id", F.coalesce("s_claims", zero).alias("s_claims"), lacking.alias("s_open"))
+
+
+def claim_index(profile: Profile) -> dict[str, int]:
+    return {claim: i for i, claim in enumerate(profile.claims)}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veriframe.operators import integrity
 from veriframe.plans.registry import Tables, values
-from veriframe.session import stored
+from veriframe.session import bucketed
 from veriframe.sources.profiles import STATUSES, profile_v1, profile_v2
 
 V2 = profile_v2()
@@ -45,12 +45,15 @@ def line_facts(t: Tables) -> DataFrame:
 
 
 class Dealt(Tables):
-    """Tables whose lines are read once, cut to the columns used here and dealt evenly, for plans that read them often."""
+    """Tables whose lines and orders are cut to the columns used here and written once, bucketed by order.
+
+    Evidence and the rows of a manifest are derived from them where they lie, as often as a plan asks: nothing derived is written or moved."""
 
     def __init__(self, t: Tables):
         super().__init__(t.spark, t.dir)
         used = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-        self.lineitem = stored(t.lineitem.select(*used).repartition("l_orderkey", "l_linenumber"))
+        self.lineitem = bucketed(t.lineitem.select(*used), "l_orderkey")
+        self.orders = bucketed(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), "o_orderkey")
 
 
 LINES_SQL = f"""lines AS (
@@ -149,8 +152,10 @@ def manifest(t: Tables) -> dict[str, DataFrame]:
     }
 
 
-def integrity_rows(t: Tables, ev: DataFrame) -> DataFrame:
-    """The manifest above and the evidence as rows of one table, from one scan of the lines."""
+def integrity_rows(t: Tables, ev: DataFrame, kinds: tuple[str, ...] = (), content: bool = True) -> DataFrame:
+    """The manifest above and the evidence as rows of one table, from one scan of the lines.
+
+    Only of ``kinds`` if any are named; without ``content`` the columns that describe an artifact are null."""
     n, q = F.col("l_linenumber"), F.col("l_quantity")
     me = F.col("artifact_id")
     node = lambda k: F.concat(F.lit("n"), (n + k).cast("string"))
@@ -161,20 +166,25 @@ def integrity_rows(t: Tables, ev: DataFrame) -> DataFrame:
     def row(kind, **values):
         return F.struct(*integrity.row(kind, package_id=F.col("package_id"), **values))
 
-    kinds = F.array(
-        row("artifact", key=me, flag=(F.col("l_tax") == 0.08) & (q > 40), declared_sha256=digest,
-            study_id=F.when(F.col("l_suppkey") % 10 == 0, "").otherwise(F.concat(F.lit("s"), F.col("l_suppkey") % 5)),
-            data_generation_id=F.concat(F.lit("g"), F.col("l_partkey") % 3),
-            cohorts=F.array(F.concat(F.lit("c"), F.col("l_suppkey") % 7), F.concat(F.lit("d"), F.col("l_partkey") % 11))),
-        F.when(n > 1, row("derived", key=me, other=node(-1))),
-        F.when(back, row("derived", key=me, other=node(1))),
-        row("lineage", key=F.col("block"), flag=sourced),
-        F.when(sourced, row("source", key=me)),
-        F.when(F.col("l_discount") != 0.08, row("attested", key=F.when(q == 49, F.lit("undeclared_block")).otherwise(F.col("block")), other=me, status=F.col("status"))),
-        F.when(q > 40, row("independent", key=me, other=F.when(q == 50, me).otherwise(node(1)))),
-        F.when(F.col("l_discount") == 0.05, row("disjoint", key=me, other=F.when(F.col("l_tax") == 0.0, me).otherwise(node(-1)))),
-    )
-    return line_facts(t).select(F.explode(kinds).alias("r")).where("r IS NOT NULL").select("r.*").unionByName(integrity.block_rows(ev))
+    described = dict(
+        declared_sha256=digest, study_id=F.when(F.col("l_suppkey") % 10 == 0, "").otherwise(F.concat(F.lit("s"), F.col("l_suppkey") % 5)),
+        data_generation_id=F.concat(F.lit("g"), F.col("l_partkey") % 3),
+        cohorts=F.array(F.concat(F.lit("c"), F.col("l_suppkey") % 7), F.concat(F.lit("d"), F.col("l_partkey") % 11))) if content else {}
+    every = [
+        ("artifact", row("artifact", key=me, flag=(F.col("l_tax") == 0.08) & (q > 40), **described)),
+        ("derived", F.when(n > 1, row("derived", key=me, other=node(-1)))),
+        ("derived", F.when(back, row("derived", key=me, other=node(1)))),
+        ("lineage", row("lineage", key=F.col("block"), flag=sourced)),
+        ("source", F.when(sourced, row("source", key=me))),
+        ("attested", F.when(F.col("l_discount") != 0.08, row("attested", key=F.when(q == 49, F.lit("undeclared_block")).otherwise(F.col("block")), other=me, status=F.col("status")))),
+        ("independent", F.when(q > 40, row("independent", key=me, other=F.when(q == 50, me).otherwise(node(1))))),
+        ("disjoint", F.when(F.col("l_discount") == 0.05, row("disjoint", key=me, other=F.when(F.col("l_tax") == 0.0, me).otherwise(node(-1))))),
+    ]
+    wanted = [r for kind, r in every if not kinds or kind in kinds]
+    # The package is taken from the line, not from the exploded row, so that rows of bucketed lines are known to lie by package.
+    rows = line_facts(t).select("package_id", F.explode(F.array(*wanted)).alias("r")).where("r IS NOT NULL")
+    rows = rows.select(*["package_id" if c == "package_id" else f"r.{c}" for c in integrity.NAMES])
+    return rows.unionByName(integrity.block_rows(ev)) if not kinds or "block" in kinds else rows
 
 
 MANIFEST_SQL = EVIDENCE_SQL + f""",

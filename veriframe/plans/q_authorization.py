@@ -163,8 +163,8 @@ def g09(t):
 # ---- integrity -----------------------------------------------------------
 
 def package_deficits(t, ev):
-    """Deficits of all orders as packages; the lines are scanned once, for the rows of the manifest."""
-    return integrity.deficits_of(B.integrity_rows(t, ev), B.manifest(t)["packages"], V2)
+    """Deficits of all orders as packages, from rows of the manifest derived where the lines of `Dealt` lie."""
+    return integrity.deficits_in_place(lambda *kinds, content: B.integrity_rows(t, ev, kinds, content), B.manifest(t)["packages"], V2)
 
 
 def _codes(*names):
@@ -293,7 +293,7 @@ def t08(t):
  SELECT claim, d.ok AS domain_ok, b.package_id IS NULL AS integrity_ok, (d.ok AND b.package_id IS NULL) AS authorized, count(*) AS n FROM domain d LEFT JOIN bad b USING (package_id) GROUP BY ALL""")
 def g07(t):
     t = B.Dealt(t)
-    ev = stored(B.evidence(t))
+    ev = B.evidence(t)
     out = compose.domain_and_integrity(domain.infer_all(B.packages(t), ev, V2), package_deficits(t, ev))
     return out.groupBy("claim", (F.col("status") == "profile_authorized").alias("domain_ok"), "integrity_ok", "authorized").agg(F.count("*").alias("n"))
 
@@ -334,9 +334,10 @@ _G06 = f"""WITH RECURSIVE {B.INTEGRITY_SQL}{B.DOMAIN_SQL[len(B.EVIDENCE_SQL):]}{
 
 def final(t):
     t = B.Dealt(t)
-    ev = stored(B.evidence(t))
-    structure = structural.deficits(structural_requests(t), B.packages(t), ev, V2)
-    return compose.final_authorization(domain.infer_all(B.packages(t), ev, V2), structure, package_deficits(t, ev))
+    ev = B.evidence(t)
+    masks = domain.by_package(B.packages(t), domain.status_masks(domain.evaluate_facts(ev, V2), V2))
+    structure = structural.package_masks(structural_requests(t), B.packages(t), ev, V2)
+    return compose.final_by_package(masks, structure, package_deficits(t, ev), V2)
 
 
 @query("g06_final_authorization", _G06 + " SELECT *, structural_ok AND domain_ok AND integrity_ok AS authorized FROM fin")
